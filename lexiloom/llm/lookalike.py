@@ -91,6 +91,21 @@ def guarded(condition: str, column: str, pairs: dict[str, str], change: Callable
     )
 
 
+def settled_steps(names: str, value: str, source: str = "") -> list[str]:
+    """Selections, each over the one before, whose column c is ``value`` with width forms, ligatures, composed accents,
+    spaces and invisible characters settled; wide tells whether it has any character beyond ASCII.
+
+    translate() builds its table for every row, so that rows without any of the characters are told apart before.
+    """
+    singles = width_forms() | dict.fromkeys(SPACES, " ")
+    return [
+        f"SELECT {names}, {value}, strlen({value}) > length({value}) AS wide" + (f" FROM {source}" if source else ""),
+        f"SELECT *, CASE WHEN wide THEN regexp_replace({value}, '[{INVISIBLE}]', '', 'g') ELSE {value} END AS a",
+        f"SELECT *, {guarded('wide', 'a', singles, translated)} AS b",
+        f"SELECT *, CASE WHEN wide THEN nfc_normalize({guarded('wide', 'b', ligatures(), replaced)}) ELSE b END AS c",
+    ]
+
+
 @cache
 def form_sql(names: str, value: str, with_clean: bool = True) -> str:
     """The query that adds to ``names`` and ``value`` of table rows the value's clean form and its skeleton.
@@ -99,7 +114,6 @@ def form_sql(names: str, value: str, with_clean: bool = True) -> str:
     of its words' own script. The skeleton also has every look-alike letter replaced by one of its class, whichever
     script it stands in: values look the same exactly if their skeletons are equal.
     """
-    singles = width_forms() | dict.fromkeys(SPACES, " ")
     apart = parted(CYRILLIC) | parted(GREEK)
     bare = CYRILLIC | GREEK | OTHER
     latin = {a: b for a, b in (accented(CYRILLIC) | accented(GREEK)).items() if a not in bare}
@@ -114,12 +128,8 @@ def form_sql(names: str, value: str, with_clean: bool = True) -> str:
         "CASE WHEN strange THEN array_to_string(list_transform(string_split(hub, ' '),"
         f" lambda h: {word}), ' ') ELSE c END"
     )
-    # translate() builds its table for every row, so that rows without any of the characters are told apart before.
     steps = [
-        f"SELECT {names}, {value}, strlen({value}) > length({value}) AS wide FROM rows",
-        f"SELECT *, CASE WHEN wide THEN regexp_replace({value}, '[{INVISIBLE}]', '', 'g') ELSE {value} END AS a",
-        f"SELECT *, {guarded('wide', 'a', singles, translated)} AS b",
-        f"SELECT *, CASE WHEN wide THEN nfc_normalize({guarded('wide', 'b', ligatures(), replaced)}) ELSE b END AS c",
+        *settled_steps(names, value, "rows"),
         f"SELECT *, wide AND regexp_matches(c, '[{''.join([*bare, *latin])}]') AS strange",
         f"SELECT *, {guarded('strange', 'c', apart, replaced)} AS d",
         f"SELECT *, {guarded('strange', 'd', latin, translated)} AS e",
