@@ -199,3 +199,30 @@ def consistent_values(rows: DataFrame) -> DataFrame:
     counts = formed.groupBy(*key, "clean").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*key).agg(F.min_by("clean", F.struct(-F.col("n"), "clean")).alias("form"))
     return formed.join(best, key).select("field", "scope", "id", "value", "form")
+
+
+@cache
+def _settling() -> dict[int, str | None]:
+    gone = {ord(c): None for c in "­͏؜ᅟᅠ឴឵᠎ㅤﾠ﻿"}
+    for low, high in ((0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F)):
+        gone |= dict.fromkeys(range(low, high + 1))
+    return {ord(a): b for a, b in (width_forms() | ligatures() | dict.fromkeys(SPACES, " ")).items()} | gone
+
+
+def settled(text: str) -> str:
+    """The Python twin of ``settled_steps`` for operators that walk through a text anyway."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_settling()))
+
+
+@cache
+def _capitals() -> dict[int, str]:
+    pairs = accented(CYRILLIC) | accented(GREEK)
+    return {ord(a): b for a, b in pairs.items() if a == a.upper()}
+
+
+def capitals(text: str) -> str:
+    """``text`` in capitals with look-alikes as Latin letters, character by character: places stay the same."""
+    upper = text.upper()
+    if len(upper) != len(text):
+        upper = "".join(u if len(u := c.upper()) == 1 else c for c in text)
+    return upper if upper.isascii() else upper.translate(_capitals())
