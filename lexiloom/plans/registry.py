@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import interval_queries
+from lexiloom.plans import gloss_queries, interval_queries, term_queries, text_queries
 
-MODULES = (interval_queries,)
+MODULES = (interval_queries, text_queries, term_queries, gloss_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
