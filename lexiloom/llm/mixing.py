@@ -108,7 +108,7 @@ def shares(documents: DataFrame, weights: DataFrame, **options) -> DataFrame:
         F.sum(F.col("tokens") * F.col("copies")).alias("n_tokens"), F.count(F.lit(1)).alias("n_documents"),
         F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"),
     )
-    joined = weights.join(picked, "source", "left").na.fill(0, ["n_tokens", "n_documents", "n_copies", "most_copies"])
+    joined = weights.select("source", "target_share", "max_repeats").join(picked, "source", "left").na.fill(0, ["n_tokens", "n_documents", "n_copies", "most_copies"])
     # One row for each source: a window over all of them.
     actual = F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))
     return joined.select("source", "target_share", actual.alias("actual_share"), "n_tokens", "n_documents", "n_copies", "most_copies", "max_repeats")

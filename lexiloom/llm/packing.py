@@ -186,7 +186,7 @@ def assignment(documents: DataFrame, limits: DataFrame, path: str = RANKS) -> Da
     gathered, at most capacity + 1 of them; the documents get their containers by rank among those of their size.
     """
     sized = cut(with_tokens(documents.where("doc_id is not null"), "doc_id bigint", path))
-    wanted = [(r.limit_id, r.capacity_tokens) for r in limits.where("capacity_tokens > 0 and limit_id is not null").distinct().orderBy("limit_id").collect()]
+    wanted = [(r.limit_id, r.capacity_tokens) for r in limits.select("limit_id", "capacity_tokens").where("capacity_tokens > 0 and limit_id is not null").distinct().orderBy("limit_id").collect()]
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("int").alias("limit_id"), F.lit(c).cast("int").alias("capacity_tokens")) for i, c in wanted])) if wanted else None
     if each is None:
         return documents.sparkSession.createDataFrame([], "limit_id int, capacity_tokens int, container_id bigint, doc_id bigint, part int, from_token bigint, n_tokens bigint")

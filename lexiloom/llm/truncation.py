@@ -236,7 +236,7 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     limits = hidden_limits(documents).select("source", "encoding", F.col("length").alias("limit"))
     named = lengths(F.col("text"))
     own = F.coalesce(*[F.when(F.col("encoding") == n, c) for n, c in named.items()])
-    at = documents.where("text <> ''").join(limits, "source")
+    at = documents.select("doc_id", "source", "text").where("text <> ''").join(limits, "source")
     at = at.where(own.between(F.col("limit") - EDGE - 1, F.col("limit"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("at_limit"))
     texts = rows.where("kind = 'text'").drop("a", "b", "c").join(at, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     lang = F.coalesce(F.col("lang"), F.lit(""))
