@@ -13,8 +13,9 @@ from lexiloom.llm.tokens import RANKS, with_tokens
 from lexiloom.operators.sequence import ordered_scan
 from lexiloom.session import cut
 
-#: Sizes above capacity / LARGE are grouped; so many groups of equal numbers of items are made.
-LARGE, GROUPS = 6, 14
+#: Roundings that are tried: sizes above capacity / first are put into second groups of equal numbers of items. Few
+#: groups allow patterns of many items, many groups round little.
+ROUNDINGS = ((6, 14), (4, 30), (3, 90), (2, 400))
 #: Buckets that spread the items of one size, and the documents that exceed a capacity.
 SPREAD = 256
 
@@ -69,6 +70,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Block], int]:
+    """The plan with the fewest containers over the roundings (see ``grouped_plan``), the first of several such."""
+    return min((grouped_plan(histogram, capacity, *r) for r in ROUNDINGS), key=lambda p: p[1])
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, large_from: int, n_groups: int) -> tuple[list[Block], int]:
     """Blocks that place every item of ``histogram`` (size up to ``capacity`` -> number), and the number of containers.
 
     Linear grouping: large items in descending order are cut into groups of equal number, each group is rounded up to
@@ -88,20 +94,21 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Block], int]:
                 insort(rooms, room)
             free[room].append((start, count))
 
-    large = sorted((s for s, n in histogram.items() if s * LARGE > capacity and n), reverse=True)
+    large = sorted((s for s, n in histogram.items() if s * large_from > capacity and n), reverse=True)
     total = sum(histogram[s] for s in large)
     if large:
         # Pieces (size, lo, hi) of each group, in descending order of size.
-        quota = -(-total // min(GROUPS, len(large)))
+        exact = len(large) <= n_groups
+        quota = -(-total // n_groups)
         groups: list[list[tuple[int, int, int]]] = [[]]
         filled = 0
         for s in large:
             at = 0
             while at < histogram[s]:
-                if filled == quota:
+                if filled == quota or exact and at == 0 and groups[-1]:
                     groups.append([])
                     filled = 0
-                n = min(quota - filled, histogram[s] - at)
+                n = histogram[s] if exact else min(quota - filled, histogram[s] - at)
                 groups[-1].append((s, at, at + n))
                 at, filled = at + n, filled + n
         merged: dict[int, list[tuple[int, int, int]]] = {}
@@ -140,7 +147,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Block], int]:
                 left.setdefault(s, []).append((lo, hi))
     else:
         left = {}
-    for s in sorted((s for s, n in histogram.items() if s > 0 and n and s * LARGE <= capacity), reverse=True):
+    for s in sorted((s for s, n in histogram.items() if s > 0 and n and s * large_from <= capacity), reverse=True):
         left[s] = [(0, histogram[s])]
     for s in sorted(left, reverse=True):
         for lo, hi in left[s]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.arrow_sql import map_sql
@@ -62,7 +62,10 @@ def same_line(a: Column, b: Column, unspaced: str = r"[\p{IsHan}\p{IsHiragana}\p
 
 
 def linked(cues: DataFrame, files: DataFrame, tracks: list[str]) -> DataFrame:
-    """The cues that show the same line as the cue before them in their file, each with that cue's id and start."""
+    """The cues that show the same line as the cue before them in their file, each with that cue's id and start.
+
+    Two cues with different slips of one word show the same line if a neighbour of the pair shows it too.
+    """
     rows = ordered_cues(cues, files, tracks)
     names = "file_id, span, cue_id, cue_ord, start_ms, end_ms"
     lines = map_sql(
@@ -75,7 +78,13 @@ def linked(cues: DataFrame, files: DataFrame, tracks: list[str]) -> DataFrame:
         lines, ["file_id"], "span", ORDER, count="place",
         lag={"before_line": "line", "before_id": "cue_id", "before_ms": "start_ms", "before_end": "end_ms"},
     )
-    return scanned.where(same_line(F.col("line"), F.col("before_line")))
+    # The cues on both sides of the pair, of the same span: they share the scan's partitions and order.
+    inside = Window.partitionBy("file_id", "span").orderBy(*ORDER)
+    scanned = scanned.withColumns({"earlier": F.lag("line", 2).over(inside), "later": F.lead("line").over(inside)})
+    line, before = F.col("line"), F.col("before_line")
+    between = [same_line(F.col(w), before) & same_line(F.col(w), line) for w in ("earlier", "later")]
+    twice = F.coalesce(F.levenshtein(line, before, 2).between(1, 2), F.lit(False)) & (between[0] | between[1])
+    return scanned.where(same_line(line, before) | twice).drop("earlier", "later")
 
 
 def pointer_doubling(links: DataFrame, group: str, place: str) -> DataFrame:
