@@ -40,23 +40,24 @@ PAIRS = (("“", "”"), ("„", "“"), ("«", "»"), ("「", "」"), ("『", "
 def lengths(text: Column) -> dict[str, Column]:
     """Lengths of ``text`` under the encodings a store may count."""
     chars, octets = F.length(text), F.octet_length(text)
-    count = lambda what: chars - F.length(F.translate(text, what, ""))
-    astral = F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]", ""))
-    lines = count("\n")
-    entities = 4 * count("&") + 3 * count("<>") + 5 * count('"') + 4 * count("'")
-    escapes = count('"\\\n\t\r')
-    wide = F.length(F.regexp_replace(text, r"[\x{0}-\x{7F}]", ""))
+    # Without regular expressions over single characters: these lengths are taken of every whole text.
+    count = lambda what: sum((chars - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in what), F.lit(0))
+    units = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    lines, quotes = count("\n"), count('"')
+    entities = 4 * count("&") + 3 * count("<>") + 5 * quotes + 4 * count("'")
+    escapes = quotes + lines + count("\\\t\r")
+    wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")) + units - chars
     return {
         "characters": chars,
         "utf-8 bytes": octets,
-        "utf-16 units": chars + astral,
+        "utf-16 units": units,
         "characters, crlf": chars + lines,
         "utf-8 bytes, crlf": octets + lines,
         "characters, entities": chars + entities,
         "utf-8 bytes, entities": octets + entities,
         "characters, json": chars + escapes,
         "utf-8 bytes, json": octets + escapes,
-        "characters, ascii json": chars + escapes + 5 * wide + 6 * astral,
+        "characters, ascii json": units + escapes + 5 * wide,
     }
 
 
@@ -69,6 +70,7 @@ def hidden_limits(documents: DataFrame) -> DataFrame:
     left out, a null source counts as one.
     """
     named = lengths(F.col("text"))
+    documents = spread(documents.select("source", "text"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("encoding"), c.cast("long").alias("length")) for n, c in named.items()]))
     counted = (
         documents.where("text <> ''").select("source", each.alias("x")).groupBy("source", "x.encoding", "x.length")
@@ -234,9 +236,8 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     """
     rows = cut(features(documents))
     limits = hidden_limits(documents).select("source", "encoding", F.col("length").alias("limit"))
-    named = lengths(F.col("text"))
-    own = F.coalesce(*[F.when(F.col("encoding") == n, c) for n, c in named.items()])
-    at = documents.select("doc_id", "source", "text").where("text <> ''").join(limits, "source")
+    own = F.coalesce(*[F.when(F.col("encoding") == n, c) for n, c in lengths(F.col("text")).items()])
+    at = spread(documents.select("doc_id", "source", "text").where("text <> ''")).join(limits, "source")
     at = at.where(own.between(F.col("limit") - EDGE - 1, F.col("limit"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("at_limit"))
     texts = rows.where("kind = 'text'").drop("a", "b", "c").join(at, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     lang = F.coalesce(F.col("lang"), F.lit(""))
