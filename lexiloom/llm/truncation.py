@@ -16,6 +16,8 @@ from lexiloom.session import cut
 
 #: A limit shows as a heap of lengths in EDGE values below it that is STEEP times as dense as the BESIDE values before.
 EDGE, BESIDE, STEEP, HEAP = 8, 64, 5, 8
+#: Characters at a text's end that hold any mark of an end.
+REACH = 200
 #: Below this share of texts that end with a stop, a source is taken to write none.
 STOPLESS = 0.3
 #: Languages with fewer documents are too small to tell label lines by how often they occur.
@@ -37,28 +39,35 @@ QUOTED = re.compile(r"[“„«‹「『\"][^”“»›」』\"]*[”“»›
 PAIRS = (("“", "”"), ("„", "“"), ("«", "»"), ("「", "」"), ("『", "』"), ("(", ")"), ("（", "）"), ("‹", "›"))
 
 
-def lengths(text: Column) -> dict[str, Column]:
-    """Lengths of ``text`` under the encodings a store may count."""
-    chars, octets = F.length(text), F.octet_length(text)
-    # Without regular expressions over single characters: these lengths are taken of every whole text.
-    count = lambda what: sum((chars - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in what), F.lit(0))
-    units = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-    lines, quotes = count("\n"), count('"')
-    entities = 4 * count("&") + 3 * count("<>") + 5 * quotes + 4 * count("'")
-    escapes = quotes + lines + count("\\\t\r")
-    wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")) + units - chars
-    return {
-        "characters": chars,
-        "utf-8 bytes": octets,
-        "utf-16 units": units,
-        "characters, crlf": chars + lines,
-        "utf-8 bytes, crlf": octets + lines,
-        "characters, entities": chars + entities,
-        "utf-8 bytes, entities": octets + entities,
-        "characters, json": chars + escapes,
-        "utf-8 bytes, json": octets + escapes,
-        "characters, ascii json": units + escapes + 5 * wide,
-    }
+#: What a store may count as the length of a text, in the order of ``lengths``.
+ENCODINGS = (
+    "characters", "utf-8 bytes", "utf-16 units", "characters, crlf", "utf-8 bytes, crlf", "characters, entities",
+    "utf-8 bytes, entities", "characters, json", "utf-8 bytes, json", "characters, ascii json",
+)
+
+
+def lengths(text: str) -> list[int]:
+    """The lengths of ``text`` under ``ENCODINGS``."""
+    chars, octets, units = len(text), len(text.encode("utf-8", "surrogatepass")), len(text.encode("utf-16-le", "surrogatepass")) // 2
+    lines, quotes = text.count("\n"), text.count('"')
+    entities = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * quotes + 4 * text.count("'")
+    escapes = quotes + lines + text.count("\\") + text.count("\t") + text.count("\r")
+    wide = units - (chars if text.isascii() else len(text.encode("ascii", "ignore")))
+    return [
+        chars, octets, units, chars + lines, octets + lines, chars + entities, octets + entities, chars + escapes,
+        octets + escapes, units + escapes + 5 * wide,
+    ]
+
+
+def measured(documents: DataFrame) -> DataFrame:
+    """source and lengths of every text that isn't empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lengths(t) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["source"], pa.array(found, pa.list_(pa.int64()))], names=["source", "lengths"])
+
+    return spread(documents.select("source", "text").where("text <> ''")).mapInArrow(run, "source string, lengths array<bigint>")
 
 
 def hidden_limits(documents: DataFrame) -> DataFrame:
@@ -69,13 +78,14 @@ def hidden_limits(documents: DataFrame) -> DataFrame:
     with the largest heap stands for the source. A source without a heap has no row; texts that are null or empty are
     left out, a null source counts as one.
     """
-    named = lengths(F.col("text"))
-    documents = spread(documents.select("source", "text"))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("encoding"), c.cast("long").alias("length")) for n, c in named.items()]))
-    counted = (
-        documents.where("text <> ''").select("source", each.alias("x")).groupBy("source", "x.encoding", "x.length")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return limits_of(measured(documents))
+
+
+def limits_of(rows: DataFrame) -> DataFrame:
+    """The limits that show in ``lengths`` of rows with a source (see ``hidden_limits``)."""
+    names = F.array(*[F.lit(n) for n in ENCODINGS])
+    each = rows.select("source", F.posexplode("lengths").alias("at", "length")).groupBy("source", "at", "length").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.select("source", F.get(names, F.col("at")).alias("encoding"), "length", "n")
     # Halves of [length - EDGE, length] meet in one window over the distinct lengths.
     ordered = Window.partitionBy("source", "encoding").orderBy("length")
     near = counted.select(
@@ -151,8 +161,8 @@ def features(documents: DataFrame) -> DataFrame:
     of word groups in texts that write no stops (a: inside a line, b: at its end). Batches are counted before they are
     shuffled.
     """
-    names = ["kind", "doc_id", "source", "lang", "ending", "k1", "k2", "k3", "k4", "line", "label", "a", "b", "c"]
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 8, pa.bool_(), *[pa.int64()] * 3]
+    names = ["kind", "doc_id", "source", "lang", "ending", "k1", "k2", "k3", "k4", "line", "label", "a", "b", "c", "lengths"]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 8, pa.bool_(), *[pa.int64()] * 3, pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +179,9 @@ def features(documents: DataFrame) -> DataFrame:
                 if not cjk:
                     for before, token, way in periods(lines):
                         dots[lang, before, token, way] += 1
-                stopless = sum(1 for x in lines if STOP.search(x.rstrip())) < 0.3 * len(lines)
+                # Patterns that are tied to the end need no more of a text than their longest match.
+                final = body[-REACH:]
+                stopless = sum(1 for x in lines if STOP.search(x.rstrip()[-REACH:])) < 0.3 * len(lines)
                 if stopless and not cjk:
                     for at, line in enumerate(lines):
                         w = masked(QUOTED.sub("Q", line)).split()
@@ -183,32 +195,32 @@ def features(documents: DataFrame) -> DataFrame:
                 stops = CJK_STOP if cjk else STOP
                 tail: list[str] = []
                 ending = "none"
-                if BROKEN.search(body):
+                if BROKEN.search(final):
                     ending = "broken"
-                elif ELLIPSIS.search(body) or BRACKET.search(body):
-                    rest = BRACKET.sub("", ELLIPSIS.sub("", body)).rstrip()
-                    tail = rest.split("\n")[-1].split()
-                    if stops.search(rest) and not ELLIPSIS.search(rest):
-                        ending = "dot" if DOT.search(rest) and not cjk else "stop"
+                elif ELLIPSIS.search(final) or BRACKET.search(final):
+                    rest = (body[:-REACH] + BRACKET.sub("", ELLIPSIS.sub("", final))).rstrip()
+                    tail, final = rest.split("\n")[-1].split(), rest[-REACH:]
+                    if stops.search(final) and not ELLIPSIS.search(final):
+                        ending = "dot" if DOT.search(final) and not cjk else "stop"
                     else:
-                        ending = "ellipsis" if ELLIPSIS.search(body) else "bracket"
+                        ending = "ellipsis" if ELLIPSIS.search(body[-REACH:]) else "bracket"
                         tail = [*tail[:-1], tail[-1] + "."] if tail else tail
-                elif stops.search(body):
+                elif stops.search(final):
                     tail = last.split()
-                    ending = "open" if unbalanced(last) else "quote" if bare_quotation(last) else "dot" if DOT.search(body) and not cjk else "stop"
+                    ending = "open" if unbalanced(last) else "quote" if bare_quotation(last) else "dot" if DOT.search(final) and not cjk else "stop"
                 elif unbalanced(last):
                     ending = "open"
                 if tail:
                     k2 = masked(tail[-2].strip("“”„«»\"'(")) if len(tail) > 1 else ""
                     k1 = masked(tail[-1].strip("“”„«»\"'()[]¿¡—"))
                 short = len(last) <= 80
-                found.append(("text", number, source, lang, ending, k1, k2, k3, k4, masked(last) if short else None, short and len(lines) > 1 and bool(LABEL.search(last)), None, None, None))
+                found.append(("text", number, source, lang, ending, k1, k2, k3, k4, masked(last) if short else None, short and len(lines) > 1 and bool(LABEL.search(last)), None, None, None, lengths(text)))
             total: dict[tuple, list[int]] = {}
             for (lang, before, token, way), n in dots.items():
                 total.setdefault(("dot", lang, token, before), [0, 0, 0])[way] += n
             for (lang, group, final), n in words_at.items():
                 total.setdefault(("gram", lang, group, None), [0, 0, 0])[final] += n
-            found += [(kind, None, None, lang, None, k1, k2, None, None, None, None, *n) for (kind, lang, k1, k2), n in total.items()]
+            found += [(kind, None, None, lang, None, k1, k2, None, None, None, None, *n, None) for (kind, lang, k1, k2), n in total.items()]
             if found:
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
@@ -217,7 +229,7 @@ def features(documents: DataFrame) -> DataFrame:
     return spread(texts).mapInArrow(
         run,
         "kind string, doc_id bigint, source string, lang string, ending string, k1 string, k2 string, k3 string,"
-        " k4 string, line string, label boolean, a bigint, b bigint, c bigint",
+        " k4 string, line string, label boolean, a bigint, b bigint, c bigint, lengths array<bigint>",
     )
 
 
@@ -235,11 +247,11 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     language is one of its own. Statistics cover all documents, and are joined, never collected.
     """
     rows = cut(features(documents))
-    limits = hidden_limits(documents).select("source", "encoding", F.col("length").alias("limit"))
-    own = F.coalesce(*[F.when(F.col("encoding") == n, c) for n, c in lengths(F.col("text")).items()])
-    at = spread(documents.select("doc_id", "source", "text").where("text <> ''")).join(limits, "source")
-    at = at.where(own.between(F.col("limit") - EDGE - 1, F.col("limit"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("at_limit"))
-    texts = rows.where("kind = 'text'").drop("a", "b", "c").join(at, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    limits = limits_of(rows.where("kind = 'text'")).select(F.col("source").alias("s"), "encoding", F.col("length").alias("limit"))
+    at = rows.where("kind = 'text'").join(limits, F.col("source") == F.col("s"))
+    own = F.get("lengths", F.array_position(F.array(*[F.lit(n) for n in ENCODINGS]), F.col("encoding")).cast("int") - 1)
+    at = at.where(own.between(F.col("limit") - EDGE - 1, F.col("limit"))).select("doc_id", F.lit(True).alias("at_limit")).distinct()
+    texts = rows.where("kind = 'text'").drop("a", "b", "c", "lengths").join(at, "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     lang = F.coalesce(F.col("lang"), F.lit(""))
     texts = texts.withColumn("l", lang)
 

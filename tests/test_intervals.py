@@ -30,7 +30,7 @@ def test_against_brute_force_with_clashing_columns(spark):
     rows = []
     for i in range(600):
         a = random.choice([None, float("nan"), random.randint(0, 3_000_000) / 1000, random.randint(0, 90_000) / 1000])
-        b = random.choice([None, (a or 0) + random.randint(-5, 400) / 10, (a or 0) + random.randint(0, 9)])
+        b = random.choice([None, (a or 0) + random.randint(-5, 400) / 10, (a or 0.0) + random.randint(0, 9)])
         rows.append((random.choice([1, 1, 2, 3, None]), i, a, b, "x", 5, 7))
     rows += rows[:50]
     got = periods_and_gaps(spark.createDataFrame(rows, SCHEMA)).collect()
