@@ -41,7 +41,9 @@ def periods_and_gaps(
     opened = ordered_scan(cover, ["entity"], "span", ["a", "b"], peak_before={"reach": "b"}).withColumn(
         "opens", F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0)
     )
-    labelled = ordered_scan(opened, ["entity"], "span", ["a", "b"], total={"island": "opens"})
+    # Of equal intervals the one that opens the island comes first.
+    opened = opened.withColumn("follows", 1 - F.col("opens"))
+    labelled = ordered_scan(opened, ["entity"], "span", ["a", "b", "follows"], total={"island": "opens"})
     both = (
         labelled.groupBy("entity", "island")
         .agg(

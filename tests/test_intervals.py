@@ -49,3 +49,11 @@ def test_empty_and_coverage(spark):
     assert periods_and_gaps(empty).collect() == []
     row = coverage(spark.createDataFrame([(1, 1, 0.0, 1.0, "", 0, 0), (1, 2, 3.0, 4.5, "", 0, 0)], SCHEMA)).first()
     assert (row.n_periods, row.n_gaps, row.covered_ms, row.silent_ms) == (2, 1, 2500, 2000)
+
+
+def test_equal_intervals_in_any_order(spark):
+    rows = [(1, i, 10.0 * (i % 40), 10.0 * (i % 40) + 4.0, "", 0, 0) for i in range(400)]
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = periods_and_gaps(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+        assert {tuple(r) for r in got} == brute(rows) and len(got) == 79
