@@ -117,8 +117,16 @@ def respell(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("gloss_id", F.array_join(T.respellings(F.col("surface")), ",").alias("spellings"))
 
 
-QUERIES |= {"is_number": is_number, "respell": respell}
+def unmarker_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of each document without its list marker."""
+    lines = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", T.without_list_marker(c("line")).alias("plain"))
+
+
+QUERIES |= {"is_number": is_number, "respell": respell, "unmarker_lines": unmarker_lines}
 SQL |= {
+    "unmarker_lines": rf"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(l[i], '{T.LIST_MARKER}', '') AS plain
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
     "is_number": rf"""SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[\s\p{{Z}}]+'),
         lambda w: regexp_matches(replace(w, ',', '.'), '{T.NUMBER}'))) AS BIGINT) AS n_numbers FROM documents""",
     "respell": """
