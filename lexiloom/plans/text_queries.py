@@ -80,6 +80,9 @@ over("mask_pieces", "glosses", ("gloss_id",), lambda: {"asked": T.masked_pieces(
      f"""SELECT gloss_id, replace(replace(replace({PROSE_SQL}, s, '{T.MASK}'), s[1], '{T.MASK}'),
         CASE WHEN length(s) > 1 THEN s[2] ELSE s[1] END, '{T.MASK}') AS asked
         FROM (SELECT *, left(surface, 2) AS s FROM glosses)""")
+over("mask_surface", "glosses", ("gloss_id",), lambda: {"asked": T.masked_pieces(PROSE(), c("surface"))},
+     f"""SELECT gloss_id, list_reduce(list_concat([{PROSE_SQL}, surface], regexp_extract_all(surface, '(?s).')),
+        lambda t, piece: replace(t, piece, '{T.MASK}')) AS asked FROM glosses""")
 over("md_anchor", "glosses", ("gloss_id",), lambda: {"anchor": T.slug(F.concat_ws(" — ", "surface", "definition"))},
      r"SELECT gloss_id, replace(regexp_replace(lower(concat_ws(' — ', surface, definition)), '[^\p{L}\p{N}_\- ]', '', 'g'), ' ', '-') AS anchor FROM glosses")
 over("entry_title", "glosses", ("gloss_id",), lambda: {"path": T.title_path(c("entry")), "title": T.path_title(T.title_path(c("entry")))},
