@@ -20,8 +20,10 @@ EDGE, BESIDE, STEEP, HEAP = 8, 64, 5, 8
 REACH = 200
 #: Below this share of texts that end with a stop, a source is taken to write none.
 STOPLESS = 0.3
-#: Languages with fewer documents are too small to tell label lines by how often they occur.
-FEW = 2000
+#: A last line is known from the texts of its language if so many of them, and such a share, end with it; one that has
+#: the shape of a label needs less.
+LEAST, SHARE = 3, 0.001
+LABEL_LEAST, LABEL_SHARE = 2, 0.0001
 
 CLOSERS = "”“\"»›」』)）]】’'"
 STOP = re.compile(rf"[.!?…。！？｡।;][{re.escape(CLOSERS)}]*$")
@@ -240,7 +242,9 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     mark where no stop is), open (an open quotation or bracket), quote (a quotation without report), dot or stop, none.
     Broken, open and bracketed ends are cuts, and quotations without report are at the source's hidden limit. A period is one if it hardly ever ends a sentence after its word or token, by how often it does in all texts.
     A text without a stop is cut unless its last line is one that many documents have (a label, a list, a sign-off) or
-    its source writes no stops and its last words end lines elsewhere. An ellipsis is one at the source's hidden limit,
+    its source writes no stops and its last words end lines elsewhere. How many have a line is counted per language, and
+    over all languages for a text without one; the shape of a label lowers the share that is asked for, and never
+    replaces it. An ellipsis is one at the source's hidden limit,
     or after words that end no sentences.
 
     Texts that are null or blank have no row and are no case; repeated texts are judged alike; a null source or
@@ -258,8 +262,10 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     by_source = texts.groupBy("source").agg(
         ((F.count_if(F.col("ending").isin("stop", "dot", "quote")) < STOPLESS * F.count(F.lit(1))) & (F.count(F.lit(1)) >= 10)).alias("stopless")
     )
-    by_lang = texts.groupBy("l").agg(F.count(F.lit(1)).alias("n_lang"))
-    lines = texts.where("line is not null and ending = 'none' and not at_limit").groupBy("l", "line").agg(F.count(F.lit(1)).alias("n_line"))
+    # Every text counts for its language and for the texts without one.
+    pooled = texts.select(F.explode(F.array_distinct(F.array("l", F.lit("")))).alias("l"), "line", "ending", "at_limit")
+    by_lang = pooled.groupBy("l").agg(F.count(F.lit(1)).alias("n_lang"))
+    lines = pooled.where("line is not null and ending = 'none' and not at_limit").groupBy("l", "line").agg(F.count(F.lit(1)).alias("n_line"))
 
     dots = rows.where("kind = 'dot'").groupBy(lang.alias("l"), "k1", "k2").agg(*[F.sum(x).alias(x) for x in "abc"])
     tokens = dots.groupBy("l", "k1").agg(F.sum("a").alias("ta"), (F.sum("a") + F.sum("b") + F.sum("c")).alias("tn"), F.sum("c").alias("tc"))
@@ -296,7 +302,8 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     rarely = (alone >= 5) & (zero("bk1") < 0.15 * alone)
     fragment = F.coalesce(F.col("part"), F.lit(False)) & (zero("bk1") == 0)
     line_ends = F.coalesce(F.coalesce(*rates) >= 0.3, ~(rarely | fragment))
-    label = (zero("n_line") >= F.greatest(F.lit(3), 0.001 * F.col("n_lang"))) | (F.col("label") & (F.col("n_lang") < FEW))
+    least = F.when(F.col("label"), F.greatest(F.lit(LABEL_LEAST), LABEL_SHARE * F.col("n_lang"))).otherwise(F.greatest(F.lit(LEAST), SHARE * F.col("n_lang")))
+    label = zero("n_line") >= least
     verdict = (
         F.when(F.col("ending").isin("broken", "bracket", "open"), True)
         .when(F.col("ending") == "stop", False)
