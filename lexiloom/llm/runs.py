@@ -78,9 +78,17 @@ def linked(cues: DataFrame, files: DataFrame, tracks: list[str]) -> DataFrame:
         lines, ["file_id"], "span", ORDER, count="place",
         lag={"before_line": "line", "before_id": "cue_id", "before_ms": "start_ms", "before_end": "end_ms"},
     )
-    # The cues on both sides of the pair, of the same span: they share the scan's partitions and order.
+    # The cues on both sides of the pair: inside a span in the scan's partitions and order, at its borders from the spans
+    # beside it, carried over the few rows that stand for a file's spans.
+    edges = scanned.groupBy("file_id", "span").agg(F.max_by("before_line", "place").alias("earlier"), F.min_by("line", "place").alias("later"))
+    across = Window.partitionBy("file_id").orderBy("span")
+    edges = edges.select("file_id", "span", F.lag("earlier").over(across).alias("_earlier"), F.lead("later").over(across).alias("_later"))
     inside = Window.partitionBy("file_id", "span").orderBy(*ORDER)
-    scanned = scanned.withColumns({"earlier": F.lag("line", 2).over(inside), "later": F.lead("line").over(inside)})
+    first, last = F.row_number().over(inside) == 1, F.lead("place").over(inside).isNull()
+    scanned = scanned.join(edges, ["file_id", "span"]).withColumns({
+        "earlier": F.when(first, F.col("_earlier")).otherwise(F.lag("before_line").over(inside)),
+        "later": F.when(last, F.col("_later")).otherwise(F.lead("line").over(inside)),
+    }).drop("_earlier", "_later")
     line, before = F.col("line"), F.col("before_line")
     between = [same_line(F.col(w), before) & same_line(F.col(w), line) for w in ("earlier", "later")]
     twice = F.coalesce(F.levenshtein(line, before, 2).between(1, 2), F.lit(False)) & (between[0] | between[1])
