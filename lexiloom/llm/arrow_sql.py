@@ -27,10 +27,12 @@ def map_sql(df: DataFrame, query: str, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores: one small file is one task otherwise.
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """``df`` over as many partitions as there are cores if its scan is small: one small file is one task otherwise.
 
-    An input of more splits than cores, as any large one is, stays as it is and isn't shuffled.
+    Only what the optimizer knows of the input's size is asked, so that nothing runs; a scan of more than ``least`` bytes
+    a core stays as it is and isn't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * least else df
