@@ -66,6 +66,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_weights"))
 
 
+def p7_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of sources, languages and topics."""
+    return mixing.marginals(table(spark, folder, "documents"), table(spark, folder, "mix_weights"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut."""
     return truncation.cut_documents(table(spark, folder, "documents"))
@@ -84,7 +89,7 @@ def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_found, p1_consistent, p3_found, p3_runs, p4_found, p4_turns, p5_found, p6_assignment, p6_summary,
-        p7_selection, p7_shares, p8_found, p8_shares, p8_limits,
+        p7_selection, p7_shares, p7_marginals, p8_found, p8_shares, p8_limits,
     )
     return {f.__name__: f for f in named}
 
