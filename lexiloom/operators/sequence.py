@@ -21,26 +21,32 @@ def ordered_scan(
     *,
     count: str | None = None,
     lag: dict[str, str] | None = None,
+    lead: dict[str, str] | None = None,
     fill: dict[str, str] | None = None,
     peak_before: dict[str, str] | None = None,
+    low_from: dict[str, str] | None = None,
     total: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add running columns to ``df`` over the order (``bucket``, ``order``) inside each ``group``.
 
     ``count`` names the 1-based place in the group. The mappings give new column -> source column:
-    ``lag`` the value of the row before, ``fill`` the last value that isn't null up to and with this row,
-    ``peak_before`` the greatest value of all rows before, ``total`` the running sum up to and with this row.
+    ``lag`` the value of the row before, ``lead`` that of the row after, ``fill`` the last value that isn't null up to and
+    with this row, ``peak_before`` the greatest value of all rows before, ``low_from`` the least of this and all rows
+    after, ``total`` the running sum up to and with this row.
 
     ``bucket`` has to grow with the order; ``order`` has to be unique inside a bucket, save for rows whose mutual order
     doesn't matter. Rows with null in ``group`` or ``bucket`` have no place and are left out. An empty table gives an
     empty table. New columns replace columns of the same name.
     """
-    lag, fill, peak_before, total = lag or {}, fill or {}, peak_before or {}, total or {}
+    lag, lead, fill, peak_before, low_from, total = lag or {}, lead or {}, fill or {}, peak_before or {}, low_from or {}, total or {}
     keys, place = [*group, bucket], F.struct(*order)
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    # What lies ahead is read in the opposite order: a frame that ends at the group's end is computed anew for every row.
+    from_end = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*group).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
 
     aggs: dict[str, Column] = {"_n": F.count(F.lit(1))}
     carried: dict[str, Column] = {}
@@ -54,6 +60,16 @@ def ordered_scan(
         first = F.row_number().over(inside) == 1
         for n, s in lag.items():
             out[n] = F.when(first, F.col("_c_lag")[n]).otherwise(F.lag(s).over(inside))
+    if lead:
+        aggs["_lead"] = F.min_by(F.struct(*[F.col(s).alias(n) for n, s in lead.items()]), place)
+        carried["_lead"] = F.last("_lead").over(behind)
+        last = F.lead(F.lit(1)).over(inside).isNull()
+        for n, s in lead.items():
+            out[n] = F.when(last, F.col("_c_lead")[n]).otherwise(F.lead(s).over(inside))
+    for i, (n, s) in enumerate(low_from.items()):
+        aggs[f"_w{i}"] = F.min(s)
+        carried[f"_w{i}"] = F.min(f"_w{i}").over(behind)
+        out[n] = F.least(F.min(s).over(from_end), F.col(f"_c_w{i}"))
     for i, (n, s) in enumerate(fill.items()):
         aggs[f"_f{i}"] = F.max_by(s, F.when(F.col(s).isNotNull(), place))
         carried[f"_f{i}"] = F.last(f"_f{i}", ignorenulls=True).over(across)
