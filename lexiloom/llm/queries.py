@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import lookalike, mixing, packing, runs, sentences, truncation, turns
+from lexiloom.llm import clocks, lookalike, mixing, packing, runs, sentences, truncation, turns
+from lexiloom.llm.cues import ordered_cues
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,7 +39,14 @@ def p4_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_turns(spark, folder).select("file_id", "speaker_id", "first_cue_id", "last_cue_id")
+    """Turns in the order of starts as stored: with reset_ms = 0 no start is moved."""
+    found = turns.turns(table(spark, folder, "cues"), table(spark, folder, "cue_files"), table(spark, folder, "speakers"), reset_ms=0)
+    return found.select("file_id", "speaker_id", "first_cue_id", "last_cue_id")
+
+
+def p4_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments and repaired times of the cues of all talk files."""
+    return clocks.repaired_clocks(ordered_cues(table(spark, folder, "cues"), table(spark, folder, "cue_files"), ["talk"]))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +96,7 @@ def p8_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_consistent, p3_found, p3_runs, p4_found, p4_turns, p5_found, p6_assignment, p6_summary,
+        p1_found, p1_consistent, p3_found, p3_runs, p4_found, p4_turns, p4_clocks, p5_found, p6_assignment, p6_summary,
         p7_selection, p7_shares, p7_marginals, p8_found, p8_shares, p8_limits,
     )
     return {f.__name__: f for f in named}
