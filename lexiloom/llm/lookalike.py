@@ -26,6 +26,20 @@ INVISIBLE = (
 MARKS = [chr(c) for c in range(0x300, 0x329)]
 
 
+def invisible_codes() -> list[int]:
+    """The code points of the ranges in ``INVISIBLE``."""
+    found: list[int] = []
+    at = 0
+    while at < len(INVISIBLE):
+        if INVISIBLE[at + 1 : at + 2] == "-":
+            found += range(ord(INVISIBLE[at]), ord(INVISIBLE[at + 2]) + 1)
+            at += 3
+        else:
+            found.append(ord(INVISIBLE[at]))
+            at += 1
+    return found
+
+
 @cache
 def width_forms() -> dict[str, str]:
     """Single characters for width forms and Kangxi radicals, from the compatibility decompositions."""
@@ -168,37 +182,78 @@ def values(glosses: DataFrame, cues: DataFrame) -> DataFrame:
     return words.unionAll(lines).where("scope is not null and id is not null and trim(value) <> ''")
 
 
+#: Records of one form that one task joins; a form with more is spread over as many tasks as it has times as many.
+HOT = 512
+KEY = ["field", "scope", "form", "form2"]
+
+
+def hashed_forms(rows: DataFrame, more: str = "") -> DataFrame:
+    """Records (field, scope, id) with hashes of their skeleton (form, form2: 126 bits of two functions) and of their value
+    (v), whatever their length, and the columns that ``more`` (SQL with a schema after a bar) adds.
+
+    Hashes are compared inside one field and scope only.
+    """
+    names = '"field", "scope", "id"'
+    columns, schema = more.split("|") if more else ("", "")
+    query = (
+        f"SELECT {names}, (hash(skeleton) >> 1)::bigint AS form, (md5_number_lower(skeleton) >> 1)::bigint AS form2,"
+        f" (hash(value) >> 1)::bigint AS v{columns} FROM ({form_sql(names, 'value', bool(more))})"
+    )
+    return map_sql(spread(rows), query, f"field string, scope bigint, id bigint, form bigint, form2 bigint, v bigint{schema}")
+
+
+def mixed_forms(formed: DataFrame) -> DataFrame:
+    """The forms that are stored in more than one way; partly aggregated before the shuffle."""
+    return formed.groupBy(*KEY).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n_rows")).where("least <> most")
+
+
 def look_same_pairs(rows: DataFrame) -> DataFrame:
     """Each pair of different records (field, scope, id, value) of one field and scope that look the same and differ.
 
-    Result (field, id_a, id_b), id_a < id_b. A first aggregation, partly done before the shuffle, finds the forms
-    stored in more than one way; only their rows are joined, by form, and never with rows of the same stored value.
+    Result (field, id_a, id_b), id_a < id_b. A first aggregation finds the forms stored in more than one way; only their
+    rows are joined, by form, and never with rows of the same stored value. A form that very many records have is joined
+    in parts: each record on one side falls into one of as many parts as the form needs, each on the other meets all.
     Repeated deliveries of a record count once; null and blank values have no partners; an empty table gives no rows.
     """
-    names = '"field", "scope", "id"'
-    query = f"SELECT {names}, (hash(skeleton) >> 1)::bigint AS form, (hash(value) >> 1)::bigint AS v FROM ({form_sql(names, 'value', False)})"
-    # Hashes stand for the texts, whatever their length; they are compared inside one field and scope only.
-    formed = map_sql(spread(rows), query, "field string, scope bigint, id bigint, form bigint, v bigint")
-    key = ["field", "scope", "form"]
-    mixed = formed.groupBy(*key).agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most")
-    cases = formed.join(mixed.select(*key), key, "left_semi").dropDuplicates([*key, "id", "v"])
-    other = cases.select(*key, F.col("id").alias("id_b"), F.col("v").alias("v_b"))
-    pairs = cases.join(other, key).where("id < id_b and v <> v_b")
+    formed = hashed_forms(rows)
+    mixed = mixed_forms(formed).select(*KEY, F.ceil(F.col("n_rows") / HOT).cast("int").alias("parts"))
+    cases = formed.join(mixed, KEY).dropDuplicates([*KEY, "id", "v"])
+    one = cases.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = cases.select(*KEY, F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = one.join(other, [*KEY, "part"]).where("id < id_b and v <> v_b")
     return pairs.select("field", F.col("id").alias("id_a"), "id_b")
 
 
+def look_same_classes(rows: DataFrame) -> DataFrame:
+    """Each record that looks like one stored differently, with its class and links: field, scope, id, class_id, n_links.
+
+    The class is named by its least id; n_links is the number of other records of the class with another value. One row
+    for each record, however many pairs its class has; records of several values count for each.
+    """
+    formed = hashed_forms(rows)
+    cases = formed.join(mixed_forms(formed).select(*KEY), KEY, "left_semi").select(*KEY, "id", "v").distinct()
+    by_value = cases.groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("n_value"), F.min("id").alias("least"))
+    by_class = by_value.groupBy(*KEY).agg(F.sum("n_value").alias("n_class"), F.min("least").alias("class_id"))
+    counted = cases.join(by_value.drop("least"), [*KEY, "v"]).join(by_class, KEY)
+    return counted.groupBy("field", "scope", "id", "class_id").agg(F.sum(F.col("n_class") - F.col("n_value")).alias("n_links"))
+
+
 def consistent_values(rows: DataFrame) -> DataFrame:
     """Each record's value and the one form that all values looking like it get: (field, scope, id, value, form).
 
     The form is the clean form that most records of the field and scope have among those that look the same, the first
-    by code points where several are as frequent.
+    by code points where several are as frequent. Only forms stored in more than one way are counted; the others keep
+    their own clean form, which isn't sent where it equals the value.
     """
-    key = ["field", "scope", "skeleton"]
-    formed = with_forms(spread(rows), "field string, scope bigint, id bigint")
-    formed = formed.dropDuplicates(["field", "scope", "id", "value"])
-    counts = formed.groupBy(*key, "clean").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(*key).agg(F.min_by("clean", F.struct(-F.col("n"), "clean")).alias("form"))
-    return formed.join(best, key).select("field", "scope", "id", "value", "form")
+    formed = hashed_forms(rows, ", value, CASE WHEN clean = value THEN NULL ELSE clean END AS clean|, value string, clean string")
+    narrow = formed.select(*KEY, "id", "v")
+    mixed = mixed_forms(narrow).select(*KEY)
+    cases = formed.join(mixed, KEY, "left_semi").dropDuplicates([*KEY, "id", "v"])
+    counts = cases.groupBy(*KEY, F.coalesce("clean", "value").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(*KEY).agg(F.min_by("c", F.struct(-F.col("n"), "c")).alias("best"))
+    shown = formed.join(best, KEY, "left").select("field", "scope", "id", "v", "value", F.coalesce("best", "clean", "value").alias("form"))
+    # Rows of one record and value are equal.
+    return shown.dropDuplicates(["field", "scope", "id", "v"]).drop("v")
 
 
 @cache

@@ -16,8 +16,9 @@ from lexiloom.session import cut
 #: Roundings that are tried: sizes above capacity / first are put into second groups of equal numbers of items. Few
 #: groups allow patterns of many items, many groups round little.
 ROUNDINGS = ((6, 14), (4, 30), (3, 90), (2, 400))
-#: Buckets that spread the items of one size, and the documents that exceed a capacity.
-SPREAD = 256
+#: Items of one size, or documents that exceed a capacity, that a task ranks: they are spread over as many buckets as they
+#: have times as many, and over FEWEST at least.
+BUCKET, FEWEST = 50_000, 64
 
 
 class Block(NamedTuple):
@@ -200,15 +201,20 @@ def assignment(documents: DataFrame, limits: DataFrame, path: str = RANKS) -> Da
     items = sized.select("doc_id", "tokens", each.alias("x")).select("x.*", "doc_id", "tokens").withColumns(
         {
             "full": F.when(F.col("tokens") > F.col("capacity_tokens"), F.floor(F.col("tokens") / F.col("capacity_tokens"))).otherwise(0),
-            "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)),
         }
     )
     items = items.withColumn("size", F.col("tokens") - F.col("full") * F.col("capacity_tokens"))
-    counted = items.where("size > 0 or full = 0").groupBy("limit_id", "capacity_tokens", "size").agg(F.count(F.lit(1)).alias("n")).collect()
+    packed = (F.col("size") > 0) | (F.col("full") == 0)
+    counted = items.groupBy("limit_id", "capacity_tokens", "size").agg(F.count_if(packed).alias("n"), F.count_if(F.col("full") > 0).alias("n_split")).collect()
+    n_split: dict[int, int] = {}
+    for c in counted:
+        n_split[c.limit_id] = n_split.get(c.limit_id, 0) + c.n_split
+    most = max([c.n for c in counted] + [*n_split.values()], default=0)
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(FEWEST, -(-most // BUCKET)))))
     rows: list[tuple[int, ...]] = []
     used: list[tuple[int, int]] = []
     for limit_id, capacity in wanted:
-        blocks, n = plan({r["size"]: r["n"] for r in counted if r.limit_id == limit_id}, capacity)
+        blocks, n = plan({r["size"]: r["n"] for r in counted if r.limit_id == limit_id and r["n"]}, capacity)
         rows += [(limit_id, *b) for b in blocks]
         used.append((limit_id, n))
     session = documents.sparkSession
