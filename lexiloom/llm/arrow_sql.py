@@ -1,9 +1,10 @@
-"""DuckDB as the expression engine inside Arrow partitions."""
+"""DuckDB as the expression engine inside Arrow partitions, and groups of sorted partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -36,3 +37,27 @@ def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * least else df
+
+
+def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows at which a new group of ``keys`` begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        values = table[key].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by ``keys``; a batch's last group waits for the next one."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*rest, batch])
+        if table.num_rows:
+            last = int(changes(table, keys)[-1])
+            if last:
+                yield table.slice(0, last).combine_chunks()
+            rest = table.slice(last).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.llm.arrow_sql import changes, whole_groups
 from lexiloom.llm.cues import ORDER, ordered_cues
 from lexiloom.llm.lookalike import _settling, capitals
-from lexiloom.llm.turns import changes, whole_groups
 from lexiloom.session import cut
 
 #: Cues of the neighbouring spans that a span also sees.
