@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ SCRIPTS = frozenset(
     " RUNIC KHMER MONGOLIAN HIRAGANA KATAKANA BOPOMOFO HANGUL CJK KANGXI YI VAI GOTHIC DESERET OSAGE ADLAM TIFINAGH"
     " JAVANESE BALINESE CHAM TAGALOG".split()
 )
+#: What a combining mark stands on when it's shown alone.
+CARRIER = "\u25cc"
 UNSPACED = frozenset({"CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER"})
 #: A text is unreadable if so much of its writing is in other scripts; a script of less isn't named.
 ENOUGH, WORTH_NAMING = 0.1, 0.01
@@ -47,15 +52,34 @@ def script_table(spark: SparkSession) -> DataFrame:
     return ranges.select(F.explode(F.sequence("low", "high")).alias("code"), "script").select(F.col("code").alias("code"), "script")
 
 
-def code_points(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
-
-
 def script_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Characters of each script in each text: key, script, n. Characters are counted before scripts are looked up."""
-    chars = texts.select(key, F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("char")).groupBy(key, "char").agg(F.count(F.lit(1)).alias("n"))
-    coded = chars.withColumn("code", F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("int"))
-    return coded.join(script_table(texts.sparkSession), "code").groupBy(key, "script").agg(F.sum("n").alias("n"))
+    """Characters of each script in each text: key, script, n.
+
+    Characters are counted where texts are scanned, and each distinct one is looked up once a batch; one row for each
+    text and script is shuffled, to sum the rows of a key that comes several times. Null texts have no characters;
+    characters of no script, and marks, aren't counted.
+    """
+    kind = texts.schema[key].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            keys, scripts, numbers = [], [], []
+            for number, value in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                found: dict[str, int] = {}
+                for char, n in Counter(value or "").items():
+                    name = known.get(char)
+                    if name is None:
+                        name = known[char] = script_of(char)
+                    if name:
+                        found[name] = found.get(name, 0) + n
+                keys += [number] * len(found)
+                scripts += found
+                numbers += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(scripts, pa.string()), pa.array(numbers, pa.int64())], names=[key, "script", "n"])
+
+    counted = texts.select(key, text).mapInArrow(count, f"`{key}` {kind.simpleString()}, script string, n bigint")
+    return counted.groupBy(key, "script").agg(F.sum("n").alias("n"))
 
 
 def unreadable(texts: DataFrame, key: str, reads: tuple[str, ...] = ("LATIN",), text: str = "text") -> DataFrame:
@@ -70,8 +94,33 @@ def unreadable(texts: DataFrame, key: str, reads: tuple[str, ...] = ("LATIN",),
 
 
 def foreign_characters(texts: DataFrame, key: str, text: str, reads: tuple[str, ...] = ("LATIN",)) -> DataFrame:
-    """Distinct characters of a term in scripts that aren't read, by where they first stand: key, char, script, at."""
-    chars = texts.select(key, F.posexplode(F.split(text, "")).alias("at", "char")).where("char <> ''")
-    first = chars.groupBy(key, "char").agg(F.min("at").alias("at"))
-    coded = first.withColumn("code", F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("int"))
-    return coded.join(script_table(texts.sparkSession), "code").where(~F.col("script").isin(*reads)).select(key, "char", "script", "at")
+    """Distinct characters of a term in scripts that aren't read, by where they first stand so: key, char, script, at.
+
+    A combining mark without a script of its own has that of the character before it; one that opens a term has none.
+    """
+    letters = F.split(text, "")
+    chars = texts.select(key, letters.alias("letters"), F.posexplode(letters).alias("at", "char")).where("char <> ''")
+    before = F.when(F.col("char").rlike(r"^\p{M}$") & (F.col("at") > 0), F.get("letters", F.col("at") - 1))
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+    table = script_table(texts.sparkSession)
+    coded = chars.select(key, "at", "char", code(F.col("char")).alias("code"), code(before).alias("code_before"))
+    own = coded.join(table, "code", "left").join(table.select(F.col("code").alias("code_before"), F.col("script").alias("inherited")), "code_before", "left")
+    named = own.withColumn("script", F.coalesce("script", "inherited")).where(F.col("script").isNotNull() & ~F.col("script").isin(*reads))
+    return named.groupBy(key, "char").agg(F.min_by("script", "at").alias("script"), F.min("at").alias("at"))
+
+
+def displayed(char: Column) -> Column:
+    """A character as a card shows it alone: a mark on the carrier it stands on."""
+    return F.when(char.rlike(r"^\p{M}$"), F.concat(F.lit(CARRIER), char)).otherwise(char)
+
+
+def unicode_names(chars: DataFrame, char: str = "char") -> DataFrame:
+    """``chars`` with the character database's name of ``char`` (``name``), or its code point."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [unicodedata.name(c, f"U+{ord(c):04X}") if c else None for c in batch[char].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "name"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chars.schema.fields)
+    return chars.mapInArrow(named, f"{fields}, name string")

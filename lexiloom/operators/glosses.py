@@ -94,13 +94,3 @@ def labels(glosses: DataFrame) -> DataFrame:
     inner = F.btrim(leading_qualifier(F.col("definition")), F.lit("()"))
     split = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
     return records(glosses).where("definition is not null").select("source_ord", "gloss_id", "idx", F.explode(split).alias("label"))
-
-
-def limited(glosses: DataFrame, most: int) -> DataFrame:
-    """The first glosses of each source until ``most`` is reached, the surface that reaches it taken whole.
-
-    Runs of one surface count as one term: a term is kept if fewer than ``most`` glosses stand before it.
-    """
-    rows = records(glosses).select("source_ord", "idx", "gloss_id", "surface")
-    first = F.min("idx").over(Window.partitionBy("source_ord", "surface"))
-    return rows.withColumn("term_at", first).where(F.col("term_at") < most).drop("term_at")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.graph import levels
+from lexiloom.operators.graph import PARTS, acyclic, heights_and_depths, together
 from lexiloom.operators.sequence import ordered_scan
 from lexiloom.session import cut
 
 #: The most places a card moves, and the least and most it comes after what it waits for.
 WINDOW, GAP = 140, (10.0, 70.0)
-#: Lists of up to so many cards are keyed in one task each.
-LIST = 50_000
 
 
 def draw(seed: int, salt: int) -> Column:
@@ -22,80 +19,47 @@ def draw(seed: int, salt: int) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
-def shuffled(cards: DataFrame, edges: DataFrame, seed: int, window: int = WINDOW, most: int = LIST) -> DataFrame:
+def shuffled(cards: DataFrame, edges: DataFrame, seed: int, window: int = WINDOW) -> DataFrame:
     """Cards (source_ord, idx) in their new order: source_ord, idx, place (1-based).
 
     A card's key is its position plus a random part of the window, less for cards that others wait for; it lies a
     random gap after the latest key of what it depends on, and is drawn anew between that and the end of its window
-    where the gap leads beyond. Then the cards are sorted by key. Lists of up to ``most`` cards are keyed in a task each,
-    which is checked before; longer ones level by level of the dependency graph, with the same result. Edges that go
-    backwards in the list are kept, so that cycles can't arise.
+    where the gap leads beyond. Then the cards are sorted by key.
+
+    Edges to later cards count like others, and then a card may leave its window; only edges that close a cycle are left
+    out (``graph.cycle_edges`` lists them). Lists of any length are keyed level by level of the dependency graph, all
+    cards of a level at once: a level's keys go along its edges to the cards that wait, and stay written.
     """
     cards = cards.select("source_ord", "idx").where("source_ord is not null and idx is not null").distinct()
-    back = edges.where("dep < idx")
-    largest = cards.groupBy("source_ord").count().agg(F.max("count")).first()[0] or 0
-    keyed = keys_by_list(cards, back, seed, window) if largest <= most else keys_by_level(cards, back, seed, window)
-    spans = keyed.withColumn("span", F.floor(F.col("key") / 512))
+    known = cards.select("source_ord", F.col("idx").alias("dep"))
+    kept = acyclic(edges.join(cards, ["source_ord", "idx"], "left_semi").join(known, ["source_ord", "dep"], "left_semi"))
+    spans = keys(cards, kept, seed, float(window)).withColumn("span", F.floor(F.col("key") / 512))
     return ordered_scan(spans, ["source_ord"], "span", ["key", "idx"], count="place").select("source_ord", "idx", "place")
 
 
-def draws(cards: DataFrame, seed: int) -> DataFrame:
-    """Cards with the three numbers their keys are made of."""
-    return cards.withColumns({"own": draw(seed, 1), "gap": F.lit(GAP[0]) + draw(seed, 2) * (GAP[1] - GAP[0]), "again": draw(seed, 3)})
-
-
-def keys_by_list(cards: DataFrame, back: DataFrame, seed: int, window: int) -> DataFrame:
-    """Keys, each list in one task: for lists of checked length."""
-    needs = back.groupBy("source_ord", "idx").agg(F.array_sort(F.collect_set("dep")).alias("needs"))
-    rows = draws(cards, seed).join(needs, ["source_ord", "idx"], "left")
-
-    def keys(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        ids, own, gap, again, needs = (table[c].to_pylist() for c in ("idx", "own", "gap", "again", "needs"))
-        height = dict.fromkeys(ids, 0)
-        for i, need in zip(reversed(ids), reversed(needs), strict=True):
-            for dep in need or ():
-                if dep in height:
-                    height[dep] = max(height[dep], height[i] + 1)
-        key: dict[int, float] = {}
-        for i, u, g, v, need in zip(ids, own, gap, again, needs, strict=True):
-            best, ceiling = i + u * window / (height[i] + 1), float(i + window)
-            floor = max((key[d] for d in need or () if d in key), default=None)
-            if floor is not None:
-                best = max(best, floor + g)
-                if best > ceiling:
-                    best = ceiling - v * (ceiling - floor) if floor < ceiling else floor + g
-            key[i] = best
-        return pa.table({"source_ord": table["source_ord"], "idx": table["idx"], "key": pa.array([key[i] for i in ids], pa.float64())})
-
-    return rows.groupBy("source_ord").applyInArrow(keys, "source_ord bigint, idx int, key double")
-
-
-def keys_by_level(cards: DataFrame, back: DataFrame, seed: int, window: int) -> DataFrame:
-    """Keys level by level of the dependency graph, all cards of a level at once: for lists of any length."""
-    back = back.join(cards.select("source_ord", F.col("idx").alias("dep")), ["source_ord", "dep"], "left_semi")
-    height = levels(cards, back, upward=True).withColumnRenamed("level", "height")
-    depth = levels(cards, back, upward=False).withColumnRenamed("level", "depth")
-    width = float(window)
-    drawn = cut(
-        draws(height.join(depth, ["source_ord", "idx"]), seed)
-        .withColumn("position", F.col("idx").cast("double"))
-        .withColumn("own", F.col("position") + F.col("own") * width / (F.col("height") + 1))
-    )
+def keys(cards: DataFrame, edges: DataFrame, seed: int, window: float) -> DataFrame:
+    """The keys of all cards: source_ord, idx, key."""
+    position, gap = F.col("idx").cast("double"), F.lit(GAP[0]) + draw(seed, 2) * (GAP[1] - GAP[0])
+    drawn = heights_and_depths(cards, edges).select(
+        "source_ord", "idx", "depth", (position + draw(seed, 1) * window / (F.col("height") + 1)).alias("own"), gap.alias("gap"),
+        (position + window).alias("ceiling"), draw(seed, 3).alias("again"),
+    )
+    drawn = cut(drawn)
     deepest = drawn.agg(F.max("depth")).first()[0] or 0
-    done = drawn.where("depth = 0").select("source_ord", "idx", F.col("own").alias("key"))
-    for level in range(1, deepest + 1):
-        at = drawn.where(F.col("depth") == level)
-        floor = (
-            at.select("source_ord", "idx").join(back, ["source_ord", "idx"])
-            .join(done.select("source_ord", F.col("idx").alias("dep"), "key"), ["source_ord", "dep"])
-            .groupBy("source_ord", "idx").agg(F.max("key").alias("floor"))
-        )
-        ceiling, raised = F.col("position") + width, F.greatest("own", F.col("floor") + F.col("gap"))
-        key = (
-            F.when(raised <= ceiling, raised)
-            .when(F.col("floor") < ceiling, ceiling - F.col("again") * (ceiling - F.col("floor")))
-            .otherwise(F.col("floor") + F.col("gap"))
-        )
-        done = cut(done.unionByName(at.join(floor, ["source_ord", "idx"]).select("source_ord", "idx", key.alias("key"))))
-    return done
+    back = edges.select("source_ord", F.col("dep").alias("from"), F.col("idx").alias("to"))
+    level = cut(drawn.where("depth = 0").select("source_ord", "idx", F.col("own").alias("key")))
+    parts, sent = [level], []
+    floor, ceiling, after = F.col("floor"), F.col("ceiling"), F.col("floor") + F.col("gap")
+    raised = F.greatest("own", after)
+    key = F.when(raised <= ceiling, raised).when(floor < ceiling, ceiling - F.col("again") * (ceiling - floor)).otherwise(after)
+    for depth in range(1, deepest + 1):
+        moved = level.select("source_ord", F.col("idx").alias("from"), "key").join(back, ["source_ord", "from"])
+        sent.append(cut(moved.groupBy("source_ord", F.col("to").alias("idx")).agg(F.max("key").alias("floor"))))
+        if len(sent) > PARTS:
+            sent = [cut(together(sent).groupBy("source_ord", "idx").agg(F.max("floor").alias("floor")))]
+        reached = together(sent).groupBy("source_ord", "idx").agg(F.max("floor").alias("floor"))
+        level = cut(drawn.where(F.col("depth") == depth).join(reached, ["source_ord", "idx"]).select("source_ord", "idx", key.alias("key")))
+        parts.append(level)
+        if len(parts) > PARTS:
+            parts = [cut(together(parts))]
+    return together(parts)

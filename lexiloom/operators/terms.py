@@ -76,30 +76,38 @@ def token_runs(words: DataFrame, key: str = "doc_id", longest: int = LONGEST_RUN
     )
 
 
-def matches(words: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Titles of up to three words found as adjacent tokens: key, sent, first, last, title.
+def matches(parts: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Titles of any number of words found as adjacent tokens of sentences (key, sent, sentence): key, sent, first, last,
+    title.
 
-    The first word is matched by an equi-join; a phrase's further words are compared with the tokens that follow, which
-    a window of the sentence brings alongside. Titles split by words, so that no title set is collected.
+    Every stretch of adjacent words that has as many words as some title is looked up whole, by an equi-join, so that a
+    common first word brings no candidates. The numbers of words that titles have are few and gathered; stretches are
+    made where sentences are scanned, without a shuffle. Nothing matches a title without a word.
     """
-    place = Window.partitionBy(key, "sent").orderBy("tok")
-    rows = words.withColumn("ahead", F.array(F.col("word"), F.lead("word", 1).over(place), F.lead("word", 2).over(place)))
-    listed = title_tokens(titles).where("n between 1 and 3").withColumn("word", F.element_at("words", 1))
-    joined = rows.join(listed, "word").where(F.slice("ahead", F.lit(1), F.col("n")) == F.col("words"))
-    return joined.select(key, "sent", F.col("tok").alias("first"), (F.col("tok") + F.col("n") - 1).alias("last"), "title")
+    listed = title_tokens(titles).where("n > 0").select("title", "n", F.array_join("words", " ").alias("gram"))
+    sizes = sorted(r.n for r in listed.select("n").distinct().collect())
+    words = F.filter(F.split(F.lower(F.col("sentence")), NON_WORD), lambda w: w != "")
+    rows = parts.select(key, "sent", words.alias("words"))
+    at = lambda n: F.transform(
+        F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice("words", i + 1, F.lit(n)), " ").alias("gram")),
+    )
+    stretches = F.explode(F.flatten(F.array(*[at(n) for n in sizes or [1]]))).alias("x")
+    return rows.select(key, "sent", stretches).select(key, "sent", "x.*").join(listed.drop("n"), "gram").select(key, "sent", "first", "last", "title")
 
 
 def maximal(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Matches that no match of more tokens in their sentence contains; equal stretches stay.
 
     Intervals of one sentence: one contains another if it starts no later and ends no earlier, so that running extremes
-    over the sentence's matches decide without comparing all pairs.
+    over the sentence's matches decide without comparing all pairs. Titles of one stretch travel together, and one
+    partitioning by key serves all steps.
     """
     order = Window.partitionBy(key, "sent").orderBy("first", F.desc("last"))
-    spans = found.select(key, "sent", "first", "last").distinct()
+    spans = found.repartition(key).groupBy(key, "sent", "first", "last").agg(F.collect_list("title").alias("titles"))
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = spans.withColumn("reach", reach).where("reach is null or reach < last").drop("reach")
-    return found.join(kept, [key, "sent", "first", "last"])
+    kept = spans.withColumn("reach", reach).where("reach is null or reach < last")
+    return kept.select(key, "sent", "first", "last", F.explode("titles").alias("title"))
 
 
 def term_groups(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -123,9 +131,3 @@ def first_by_surface(terms: DataFrame, group: list[str], surface: str, order: li
     """The first row of each surface in a group."""
     place = Window.partitionBy(*group, surface).orderBy(*order)
     return terms.withColumn("nth", F.row_number().over(place)).where("nth = 1").drop("nth")
-
-
-def ranked_entries(candidates: DataFrame, surface: str, lemma: str, entry: str) -> DataFrame:
-    """Candidates with their rank: the own spelling, then the lemma, then others, each by code points."""
-    kind = F.when(F.col(entry) == F.col(surface), 0).when(F.col(entry) == F.col(lemma), 1).otherwise(2)
-    return candidates.withColumn("entry_rank", kind)

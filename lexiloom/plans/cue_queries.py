@@ -32,7 +32,7 @@ def clocked(s: SparkSession, d: str, cues: DataFrame | None = None) -> DataFrame
     points = glosses.select(F.col("source_ord").alias("file_id"), (F.col("first_sentence").cast("long") * 60).alias("starts_at"), "gloss_id", "gloss_key")
     cues = cut(parsed(s, d)) if cues is None else cues
     marks = U.offsets(cues).join(cues.select("file_id", "cue", F.col("start").alias("t")), ["file_id", "cue"]).select("file_id", "starts_at", "t")
-    return as_of(points, marks, "file_id", "starts_at", "t").select("file_id", "gloss_id", "gloss_key", F.coalesce("t", F.lit(0.0)).alias("t"))
+    return as_of(points, cut(marks), "file_id", "starts_at", "t").select("file_id", "gloss_id", "gloss_key", F.coalesce("t", F.lit(0.0)).alias("t"))
 
 
 def timeline(s: SparkSession, d: str) -> DataFrame:
@@ -44,14 +44,21 @@ def timeline(s: SparkSession, d: str) -> DataFrame:
     return coverage_rows(met, ends, "file_id")
 
 
+def greedy(s: SparkSession, d: str) -> DataFrame:
+    """How the cues of unpunctuated files join."""
+    cues = cut(parsed(s, d))
+    return U.greedy_breaks(cues.join(U.punctuated(cues).where("not punctuated").select("file_id"), "file_id", "left_semi"))
+
+
 QUERIES = {
     "cue_sniff": lambda s, d: U.looks_like_cues(lines(s, d)),
     "cue_lines": lines,
     "cue_parse": parsed,
     "cue_offsets": lambda s, d: U.offsets(cut(parsed(s, d))),
-    "cue_fold": lambda s, d: U.punctuated(parsed(s, d)),
+    "cue_punctuated": lambda s, d: U.punctuated(parsed(s, d)),
+    "cue_fold": lambda s, d: U.folded(cut(parsed(s, d))),
     "cue_pause": lambda s, d: U.pauses(cut(parsed(s, d))),
-    "cue_fold_greedy": lambda s, d: U.greedy_breaks(cut(parsed(s, d))),
+    "cue_fold_greedy": greedy,
     "asof_times": clocked,
     "timeline": timeline,
     "timeline_gaps": lambda s, d: G.records(read(s, d, "glosses")).join(C.positions(read(s, d, "deck")), ["source_ord", "gloss_key"], "left_anti").select("gloss_id"),
@@ -63,11 +70,12 @@ QUERIES = {
 }
 
 STAMP = "printf('%02d:%02d:%02d', ({x} // 3600000) % 1000, ({x} // 60000) % 60, ({x} // 1000) % 60) || mark || printf('%03d', {x} % 1000)"
-LINES = f"""li AS (SELECT file_id, (cue_ord - 1) * 64 + i - 1 AS line_no, v[i] AS line FROM (SELECT file_id, CAST(cue_ord AS BIGINT) AS cue_ord, v, unnest(range(1, len(v) + 1)) AS i FROM (
+LINES = f"""lv AS (SELECT file_id, v, CAST(sum(len(v)) OVER (PARTITION BY file_id ORDER BY cue_ord ROWS UNBOUNDED PRECEDING) AS BIGINT) - len(v) AS before FROM (
     SELECT file_id, cue_ord, list_concat([CAST(cue_ord AS VARCHAR), {STAMP.format(x='a')} || ' --> ' || {STAMP.format(x='b')}], string_split(text, chr(10)), ['']) AS v FROM (
     SELECT DISTINCT ON (file_id, cue_ord) c.file_id, cue_ord, CAST(round(start_s * 1000) AS BIGINT) AS a, CAST(round(end_s * 1000) AS BIGINT) AS b, text,
         CASE WHEN dialect = 'vtt' THEN '.' ELSE ',' END AS mark FROM cues c JOIN cue_files f ON c.file_id = f.file_id
-    WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND text IS NOT NULL))))"""
+    WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND text IS NOT NULL))),
+    li AS (SELECT file_id, before + i - 1 AS line_no, v[i] AS line FROM (SELECT file_id, before, v, unnest(range(1, len(v) + 1)) AS i FROM lv))"""
 
 
 def clock_sql(first: int) -> str:
@@ -83,7 +91,15 @@ PARSED = f"""{LINES}, tm AS (SELECT *, regexp_matches(line, '{U.TIMING}') AS tim
     wk AS (SELECT *, lag(words) OVER (PARTITION BY file_id ORDER BY line_no) AS kept FROM wo WHERE words <> '' AND NOT regexp_matches(words, '{U.INDEX}') AND NOT regexp_matches(words, '{U.HEADER}')),
     tx AS (SELECT file_id, cue, string_agg(words, ' ' ORDER BY line_no) AS text FROM wk WHERE cue > 0 AND (kept IS NULL OR kept <> words) GROUP BY file_id, cue),
     pa AS (SELECT ck.file_id, ck.cue, start, "end", text FROM ck JOIN tx ON ck.file_id = tx.file_id AND ck.cue = tx.cue)"""
-OFFSETS = "os AS (SELECT file_id, cue, CAST(sum(length(text) + 1) OVER (PARTITION BY file_id ORDER BY cue ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS BIGINT) AS starts_at, start AS t FROM pa)"
+FOLD = f"""pu AS (SELECT file_id, count(*) FILTER (regexp_matches(rtrim(text), '{U.TERMINAL}')) >= CAST({U.PUNCTUATED} AS DOUBLE) * count(*) AS punctuated FROM pa GROUP BY file_id),
+    nb AS (SELECT pa.*, punctuated, row_number() OVER w AS k, coalesce(start - lag("end") OVER w >= CAST({U.PAUSE} AS DOUBLE), true) AS paused,
+        len(list_filter(string_split_regex(text, '[\\s\\p{{Z}}]+'), lambda x: x <> '')) AS n FROM pa JOIN pu USING (file_id) WINDOW w AS (PARTITION BY file_id ORDER BY cue)),
+    fd AS (SELECT file_id, k, cue, text, CAST('start' AS VARCHAR) AS joined, n AS words FROM nb WHERE k = 1
+        UNION ALL SELECT b.file_id, b.k, b.cue, b.text, CASE WHEN NOT b.punctuated AND (b.paused OR a.words >= {U.MAX_WORDS}) THEN 'break' ELSE 'space' END,
+            CASE WHEN b.paused OR a.words >= {U.MAX_WORDS} THEN 0 ELSE a.words END + b.n FROM fd a JOIN nb b ON b.file_id = a.file_id AND b.k = a.k + 1),
+    jo AS (SELECT *, CASE joined WHEN 'start' THEN '' WHEN 'space' THEN ' ' ELSE chr(10) || chr(10) END AS joint FROM fd)"""
+OFFSETS = f"""{FOLD}, os AS (SELECT jo.file_id, jo.cue, CAST(sum(length(joint) + length(jo.text)) OVER (PARTITION BY jo.file_id ORDER BY jo.cue ROWS UNBOUNDED PRECEDING)
+    - length(jo.text) AS BIGINT) AS starts_at, start AS t FROM jo JOIN pa ON pa.file_id = jo.file_id AND pa.cue = jo.cue)"""
 REC = "g AS (SELECT DISTINCT ON (gloss_id) * FROM glosses ORDER BY gloss_id)"
 CLOCKED = f"""{PARSED}, {OFFSETS}, {REC}, cl AS (SELECT g.source_ord AS file_id, g.gloss_id, g.gloss_key,
     coalesce(o.t, (SELECT arg_min(t, starts_at) FROM os WHERE os.file_id = g.source_ord), 0.0) AS t
@@ -95,12 +111,14 @@ SQL = {
     "cue_sniff": f"WITH {LINES} SELECT file_id, max(regexp_matches(line, '{U.TIMING}') OR (line_no = 0 AND regexp_matches(line, '{U.HEADER}'))) AS is_cues FROM li WHERE line_no < 40 GROUP BY file_id",
     "cue_lines": f"WITH {LINES} SELECT * FROM li",
     "cue_parse": f"WITH {PARSED} SELECT * FROM pa",
-    "cue_offsets": f"WITH {PARSED}, {OFFSETS} SELECT file_id, cue, starts_at FROM os",
-    "cue_fold": f"""WITH {PARSED} SELECT file_id, count(*) AS n_cues, count(*) FILTER (regexp_matches(rtrim(text), '{U.TERMINAL}')) AS n_ends,
+    "cue_offsets": f"WITH RECURSIVE {PARSED}, {OFFSETS} SELECT file_id, cue, starts_at FROM os",
+    "cue_fold": f"WITH RECURSIVE {PARSED}, {FOLD} SELECT file_id, cue // {U.BLOCK} AS block, string_agg(joint || text, '' ORDER BY cue) AS text FROM jo GROUP BY ALL",
+    "cue_fold_greedy": f"WITH RECURSIVE {PARSED}, {FOLD} SELECT file_id, cue, joined FROM jo WHERE file_id IN (SELECT file_id FROM pu WHERE NOT punctuated)",
+    "cue_punctuated": f"""WITH {PARSED} SELECT file_id, count(*) AS n_cues, count(*) FILTER (regexp_matches(rtrim(text), '{U.TERMINAL}')) AS n_ends,
         count(*) FILTER (regexp_matches(rtrim(text), '{U.TERMINAL}')) >= CAST({U.PUNCTUATED} AS DOUBLE) * count(*) AS punctuated FROM pa GROUP BY file_id""",
     "cue_pause": f'WITH {PARSED} SELECT file_id, cue, start - lag("end") OVER (PARTITION BY file_id ORDER BY cue) AS silence FROM pa',
-    "asof_times": f"WITH {CLOCKED} SELECT * FROM cl",
-    "timeline": f"""WITH {CLOCKED}, {PLACES}, me AS (SELECT cl.file_id, cl.t, ps.position FROM cl LEFT JOIN ps ON ps.source_ord = cl.file_id AND ps.gloss_key = cl.gloss_key),
+    "asof_times": f"WITH RECURSIVE {CLOCKED} SELECT * FROM cl",
+    "timeline": f"""WITH RECURSIVE {CLOCKED}, {PLACES}, me AS (SELECT cl.file_id, cl.t, ps.position FROM cl LEFT JOIN ps ON ps.source_ord = cl.file_id AND ps.gloss_key = cl.gloss_key),
         en AS (SELECT file_id, max("end") AS e FROM pa GROUP BY file_id),
         cu AS (SELECT file_id, CAST(unnest(range({EVERY}, CAST(floor(e) AS BIGINT) + 1, {EVERY})) AS DOUBLE) AS cutoff FROM en
             UNION SELECT file_id, e FROM en),
@@ -123,7 +141,10 @@ DOC_CHARS = "ch AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(
 WORD_CHARS = """wd AS (SELECT DISTINCT gloss_id, surface FROM glosses), wc AS (SELECT gloss_id, CAST(i - 1 AS INTEGER) AS "at", v[i] AS c FROM (
     SELECT gloss_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT gloss_id, string_split(surface, '') AS v FROM wd)))"""
 DOC_COUNTS = f"WITH {ranges_sql()}, {DOC_CHARS}, k AS (SELECT doc_id, script, CAST(sum(n) AS BIGINT) AS n FROM ch JOIN st ON unicode(c) = code GROUP BY doc_id, script)"
-FOREIGN = f"""WITH {ranges_sql()}, {WORD_CHARS}, fc AS (SELECT gloss_id, c AS "char", script, min("at") AS "at" FROM wc JOIN st ON unicode(c) = code WHERE script <> 'LATIN' GROUP BY gloss_id, c, script)"""
+FOREIGN = f"""WITH {ranges_sql()}, {WORD_CHARS}, pc AS (SELECT *, lag(c) OVER (PARTITION BY gloss_id ORDER BY "at") AS b FROM wc WHERE c <> ''),
+    nc AS (SELECT gloss_id, c, "at", coalesce(o.script, i.script) AS script FROM pc LEFT JOIN st o ON unicode(c) = o.code
+        LEFT JOIN st i ON regexp_matches(c, '^\\p{{M}}$') AND unicode(b) = i.code),
+    fc AS (SELECT gloss_id, c AS "char", arg_min(script, "at") AS script, min("at") AS "at" FROM nc WHERE script <> 'LATIN' GROUP BY gloss_id, c)"""
 SQL |= {
     "script_of": f"WITH {ranges_sql()}, {WORD_CHARS} SELECT script, count(*) AS n FROM wc JOIN st ON unicode(c) = code GROUP BY script",
     "script_counts": DOC_COUNTS + " SELECT * FROM k",

@@ -94,23 +94,17 @@ QUERIES = {
     "bundles": lambda s, d: G.labels(glosses_of(s, d)).groupBy("gloss_id").agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("bundle")),
     "categories": lambda s, d: G.labels(glosses_of(s, d)).groupBy("source_ord").agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels")),
     "top_unresolved": lambda s, d: G.labels(glosses_of(s, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(5),
-    "limit_glosses": lambda s, d: G.limited(glosses_of(s, d), 50).select("gloss_id"),
     "first_sentence": lambda s, d: G.records(glosses_of(s, d)).groupBy("source_ord", "gloss_key").agg(F.min("first_sentence").alias("first_sentence")),
-    "glosses": lambda s, d: ordered_scan(
+    "gloss_ordinals": lambda s, d: ordered_scan(
         G.deduplicated(glosses_of(s, d)).select("source_ord", "idx", "gloss_id", F.floor(F.col("idx") / 512).alias("block")), ["source_ord"], "block", ["idx"], count="ordinal"
     ).select("gloss_id", "source_ord", "ordinal"),
     "spellings": lambda s, d: G.records(glosses_of(s, d)).select("gloss_id", F.array_join(F.array_distinct(F.filter(
         F.array("surface", "lemma", F.lower("surface"), F.lower("lemma")), lambda x: x.isNotNull())), "|").alias("spelled")),
     "entry_rank": lambda s, d: G.records(glosses_of(s, d)).select("gloss_id", F.when(F.col("entry") == F.col("surface"), 0).when(F.coalesce(F.col("entry") == F.col("lemma"), F.lit(False)), 1).otherwise(2).alias("entry_rank")),
-    "surface_lemma": lambda s, d: G.records(glosses_of(s, d)).select("gloss_id", F.when(F.col("lang_name").isin("Chinese", "Japanese"), F.regexp_replace("entry", r"\s+", "")).otherwise(F.lower("entry")).alias("assembled")),
-    "particle": lambda s, d: G.records(glosses_of(s, d)).where("lang_name = 'German' and entry like '% %'").select("gloss_id", F.lower(F.concat(F.substring_index("entry", " ", -1), F.substring_index("entry", " ", 1))).alias("joined")),
     "appendix_merge": lambda s, d: G.records(glosses_of(s, d)).where("definition is not null").select("source_ord", "entry", "definition", F.when(F.col("production"), 0).otherwise(1).alias("priority"), "idx").groupBy("source_ord", "entry").agg(
         F.min_by("definition", F.struct("priority", "idx")).alias("description")),
-    "page_redirect": lambda s, d: G.records(glosses_of(s, d)).groupBy("source_ord", "surface").agg(F.min("entry").alias("to")).where("surface <> to").alias("a").join(
-        G.records(glosses_of(s, d)).select("source_ord", F.col("entry").alias("to")).distinct(), ["source_ord", "to"]).select("source_ord", "surface", "to"),
     "cull": kept_by_schedule,
     "rule_examples": rule_examples,
-    "rule_match": lambda s, d: kept_by_schedule(s, d).groupBy("source_ord", "rule").agg(F.count(F.lit(1)).alias("n_offered"), F.count_if("kept").alias("n_kept")),
     "positional_capital": positional_capitals,
     "cards": lambda s, d: C.cards(glosses_of(s, d)),
     "card_deps": lambda s, d: C.card_dependencies(glosses_of(s, d), graph.edges_of(glosses_of(s, d))),
@@ -128,9 +122,6 @@ QUERIES = {
     "media_dedup": lambda s, d: G.records(glosses_of(s, d)).where("entry is not null").groupBy("lang_name", F.concat("entry", F.lit(".ogg")).alias("name")).agg(F.min(F.struct("source_ord", "idx")).alias("m")).select("lang_name", "name", "m.source_ord", "m.idx"),
     "kept_counts": lambda s, d: G.records(glosses_of(s, d)).groupBy("lang_name").agg(F.count_if(F.col("lemma").isNull()).alias("no_lemma"), F.count_if(F.col("definition").isNull()).alias("no_definition"), F.count_if(F.size("examples") == 0).alias("no_example")),
     "verdict_counts": lambda s, d: G.records(glosses_of(s, d)).groupBy(F.when(F.col("definition").isNull(), "unknown").when(T.is_marked(F.col("definition")), "figure").otherwise("plain").alias("kind")).agg(F.count(F.lit(1)).alias("n")),
-    "bench_score": lambda s, d: G.records(glosses_of(s, d)).groupBy("source_ord", "surface").agg(
-        F.max(F.contains(F.lower("definition"), F.lit(" used "))).alias("must"), F.max(F.contains(F.lower("definition"), F.lit("(dated)"))).alias("never"), F.count("definition").alias("n")
-    ).select("source_ord", "surface", F.when(F.col("n") == 0, "absent").when(F.col("never") | ~F.col("must"), "fail").otherwise("pass").alias("state")),
     "shuffle_order": shuffle_order,
     "shuffle_invariants": shuffle_invariants,
 }
@@ -197,20 +188,14 @@ SQL = {
     "bundles": f"WITH {REC}, {LABELS} SELECT gloss_id, array_to_string(list_sort(list(DISTINCT label)), '|') AS bundle FROM l GROUP BY gloss_id",
     "categories": f"WITH {REC}, {LABELS} SELECT source_ord, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels FROM l GROUP BY source_ord",
     "top_unresolved": f"WITH {REC}, {LABELS} SELECT label, count(*) AS n FROM l GROUP BY label ORDER BY n DESC, label LIMIT 5",
-    "limit_glosses": f"WITH {REC} SELECT gloss_id FROM (SELECT gloss_id, min(idx) OVER (PARTITION BY source_ord, surface) AS t FROM g) WHERE t < 50",
     "first_sentence": f"WITH {REC} SELECT source_ord, gloss_key, min(first_sentence) AS first_sentence FROM g GROUP BY source_ord, gloss_key",
-    "glosses": f"WITH {REC}, {DEDUP} SELECT gloss_id, source_ord, row_number() OVER (PARTITION BY source_ord ORDER BY idx) AS ordinal FROM dd",
+    "gloss_ordinals": f"WITH {REC}, {DEDUP} SELECT gloss_id, source_ord, row_number() OVER (PARTITION BY source_ord ORDER BY idx) AS ordinal FROM dd",
     "spellings": f"""WITH {REC}, v AS (SELECT gloss_id, list_filter([surface, lemma, lower(surface), lower(lemma)], lambda x: x IS NOT NULL) AS v FROM g)
         SELECT gloss_id, array_to_string(list_filter(v, lambda w, i: list_position(v, w) = i), '|') AS spelled FROM v""",
     "entry_rank": f"WITH {REC} SELECT gloss_id, CASE WHEN entry = surface THEN 0 WHEN entry = lemma THEN 1 ELSE 2 END AS entry_rank FROM g",
-    "surface_lemma": rf"WITH {REC} SELECT gloss_id, CASE WHEN lang_name IN ('Chinese', 'Japanese') THEN regexp_replace(entry, '\s+', '', 'g') ELSE lower(entry) END AS assembled FROM g",
-    "particle": f"WITH {REC} SELECT gloss_id, lower(string_split(entry, ' ')[-1] || string_split(entry, ' ')[1]) AS joined FROM g WHERE lang_name = 'German' AND entry LIKE '% %'",
     "appendix_merge": f"WITH {REC} SELECT source_ord, entry, definition AS description FROM (SELECT *, row_number() OVER (PARTITION BY source_ord, entry ORDER BY CASE WHEN production THEN 0 ELSE 1 END, idx) AS k FROM g WHERE definition IS NOT NULL) WHERE k = 1",
-    "page_redirect": f"""WITH {REC}, a AS (SELECT source_ord, surface, min(entry) AS "to" FROM g GROUP BY source_ord, surface)
-        SELECT * FROM a WHERE surface <> "to" AND EXISTS (SELECT 1 FROM g WHERE g.source_ord = a.source_ord AND g.entry = a."to")""",
     "cull": CULL + " SELECT * FROM cu",
     "rule_examples": CULL + " SELECT source_ord, idx, rule, n FROM cu WHERE kept AND n <= 2",
-    "rule_match": CULL + " SELECT source_ord, rule, count(*) AS n_offered, count(*) FILTER (kept) AS n_kept FROM cu GROUP BY source_ord, rule",
     "positional_capital": r"""WITH x AS (SELECT DISTINCT gloss_id, e.sentence AS sentence FROM (SELECT gloss_id, unnest(examples) AS e FROM glosses)),
         w AS (SELECT gloss_id, sentence, CAST(i - 1 AS INTEGER) AS "at", v[i] AS word FROM (SELECT gloss_id, sentence, v, unnest(range(1, len(v) + 1)) AS i FROM (
             SELECT gloss_id, sentence, regexp_extract_all(sentence, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+') AS v FROM x))),
@@ -237,7 +222,5 @@ SQL = {
         row_number() OVER (PARTITION BY lang_name, entry ORDER BY source_ord, idx) AS k FROM g WHERE entry IS NOT NULL) WHERE k = 1""",
     "kept_counts": f"WITH {REC} SELECT lang_name, count(*) FILTER (lemma IS NULL) AS no_lemma, count(*) FILTER (definition IS NULL) AS no_definition, count(*) FILTER (len(examples) = 0) AS no_example FROM g GROUP BY lang_name",
     "verdict_counts": f"WITH {REC} SELECT CASE WHEN definition IS NULL THEN 'unknown' WHEN {MARKED} THEN 'figure' ELSE 'plain' END AS kind, count(*) AS n FROM g GROUP BY 1",
-    "bench_score": f"""WITH {REC}, s AS (SELECT source_ord, surface, max(contains(lower(definition), ' used ')) AS must, max(contains(lower(definition), '(dated)')) AS never, count(definition) AS n FROM g GROUP BY ALL)
-        SELECT source_ord, surface, CASE WHEN n = 0 THEN 'absent' WHEN never OR NOT must THEN 'fail' ELSE 'pass' END AS state FROM s""",
     "shuffle_invariants": "SELECT source_ord, count(DISTINCT idx) AS n_cards, CAST(0 AS BIGINT) AS n_far, CAST(0 AS BIGINT) AS n_early FROM glosses GROUP BY source_ord",
 }

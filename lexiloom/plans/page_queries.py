@@ -42,7 +42,7 @@ QUERIES = {
     "html_headings": lambda s, d: parsed(s, d).select("page_id", F.posexplode("headings").alias("at", "h")).select("page_id", "at", "h.level", "h.name"),
     "html_links": lambda s, d: parsed(s, d).select("page_id", F.explode("links").alias("href")),
     "html_sections": lambda s, d: parsed(s, d).select("page_id", F.explode("senses").alias("x")).select("page_id", "x.heading", "x.definition"),
-    "html_section": lambda s, d: parsed(s, d).select("page_id", F.size("senses").cast("long").alias("n_senses")),
+    "ocr_blocks": lambda s, d: ocr.blocks(ocr_pages(s, d)),
     "ocr_fold": lambda s, d: ocr.speech(ocr_pages(s, d)),
     "event_windows": lambda s, d: windowed_counts(read(s, d, "events")),
 }
@@ -51,6 +51,5 @@ SPACED = r"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
 SQL = {
     "html_headings": f"WITH {REC} SELECT gloss_id AS page_id, CAST(i AS INTEGER) AS \"at\", CAST(v.level AS INTEGER) AS level, v.name AS name FROM (SELECT gloss_id, unnest([0, 1, 2]) AS i, unnest([{{'level': 2, 'name': {SPACED.format(x='entry')}}}, {{'level': 3, 'name': 'Noun'}}, {{'level': 3, 'name': 'See also'}}]) AS v FROM g)",
     "html_links": f"WITH {REC} SELECT gloss_id AS page_id, '/wiki/' || coalesce(lemma, '') AS href FROM g",
-    "html_section": f"WITH {REC} SELECT gloss_id AS page_id, CAST(CASE WHEN definition IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_senses FROM g",
     "event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS from_ts, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

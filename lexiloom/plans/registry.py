@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import cue_queries, gloss_queries, interval_queries, page_queries, term_queries, text_queries
+from lexiloom.plans import cue_queries, gloss_queries, interval_queries, page_queries, structure_queries, term_queries, text_queries
 
-MODULES = (interval_queries, text_queries, term_queries, gloss_queries, cue_queries, page_queries)
+MODULES = (interval_queries, text_queries, term_queries, gloss_queries, cue_queries, page_queries, structure_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,7 +27,7 @@ def titles_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    return M.matches(words_of(spark, folder), titles_of(spark, folder))
+    return M.matches(M.sentences(read(spark, folder, "documents")), titles_of(spark, folder))
 
 
 def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,10 +64,6 @@ QUERIES = {
     "maximal_match": lambda s, d: M.maximal(found(s, d)),
     "term_groups": lambda s, d: M.term_groups(found(s, d)).withColumn("titles", F.array_join("titles", "|")),
     "uncovered_runs": lambda s, d: M.uncovered_runs(words_of(s, d), found(s, d)),
-    "terms_nonpunct": lambda s, d: M.sentences(read(s, d, "documents")).select("doc_id", "sent", F.size(F.filter(F.split("sentence", r"[\s\p{Z}]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_words")),
-    "contiguous": lambda s, d: found(s, d).groupBy("doc_id", "sent", "title").agg(F.array_sort(F.collect_set("first")).alias("at")).select(
-        "doc_id", "sent", "title", (F.array_max("at") - F.array_min("at") + 1 == F.size("at")).alias("adjacent")
-    ),
     "doc_terms": doc_terms,
 }
 
@@ -85,11 +81,12 @@ TITLES = r""", titles AS (
         FROM (SELECT unnest(examples) AS e FROM glosses)) WHERE x <> '')"""
 FOUND = r""", tw AS (
     SELECT title, list_filter(string_split_regex(lower(title), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS words FROM titles
-), la AS (
-    SELECT *, [word, lead(word, 1) OVER w, lead(word, 2) OVER w] AS ahead FROM t WINDOW w AS (PARTITION BY doc_id, sent ORDER BY tok)
+), sw AS (
+    SELECT doc_id, sent, list_filter(string_split_regex(lower(sentence), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS all_words FROM s
 ), f AS (
-    SELECT doc_id, sent, tok AS first, CAST(tok + len(words) - 1 AS INTEGER) AS last, title FROM la JOIN tw ON la.word = tw.words[1]
-    WHERE len(words) BETWEEN 1 AND 3 AND ahead[1:len(words)] = words
+    SELECT t.doc_id, t.sent, tok AS first, CAST(tok + len(words) - 1 AS INTEGER) AS last, title
+    FROM t JOIN sw ON t.doc_id = sw.doc_id AND t.sent = sw.sent JOIN tw ON t.word = tw.words[1]
+    WHERE all_words[tok + 1:tok + len(words)] = words
 )"""
 BASE = "WITH " + ALL + TOKENS
 MATCHED = BASE + TITLES + FOUND
@@ -127,8 +124,6 @@ SQL = {
         SELECT *, tok - row_number() OVER (PARTITION BY doc_id, sent ORDER BY tok) AS k FROM t
         WHERE NOT regexp_matches(word, '^\p{Nd}+$') AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = t.doc_id AND f.sent = t.sent AND t.tok BETWEEN f.first AND f.last))
         SELECT doc_id, sent, min(tok) AS first, max(tok) AS last, string_agg(word, ' ' ORDER BY tok) AS run FROM u GROUP BY doc_id, sent, k""",
-    "terms_nonpunct": r"WITH " + ALL + r" SELECT doc_id, sent, CAST(len(list_filter(string_split_regex(sentence, '[\s\p{Z}]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))) AS BIGINT) AS n_words FROM s",
-    "contiguous": MATCHED + " SELECT doc_id, sent, title, max(first) - min(first) + 1 = count(DISTINCT first) AS adjacent FROM f GROUP BY doc_id, sent, title",
     "doc_terms": MATCHED + MAXIMAL + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY sent, first) AS n FROM m)
         SELECT * FROM (SELECT doc_id, title, sent, first, last, substr(sha256(title || chr(10) || 'term'), 1, 16) AS key FROM o WHERE n = 1)
         WHERE key NOT IN (SELECT gloss_key FROM deck WHERE gloss_key IS NOT NULL)""",

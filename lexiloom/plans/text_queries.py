@@ -51,8 +51,6 @@ over("listed", "glosses", ("gloss_id",), lambda: {"listing": T.listed(F.concat("
 over("clock", "cues", ("cue_id",), lambda: {"shown": T.clock(c("start_s"))},
      """SELECT cue_id, CASE WHEN s IS NULL THEN NULL ELSE printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) END AS shown
         FROM (SELECT cue_id, CAST(floor(start_s) AS BIGINT) AS s FROM cues)""")
-over("unmarker", "documents", ("doc_id",), lambda: {"plain": T.without_list_marker(F.substring_index("text", "\n", -1))},
-     rf"SELECT doc_id, regexp_replace(regexp_extract(text, '[^\n]*$'), '{T.LIST_MARKER}', '') AS plain FROM documents")
 over("marked", "glosses", ("gloss_id",), lambda: {"label": T.leading_qualifier(c("definition")), "marked": T.is_marked(c("definition"))},
      f"SELECT gloss_id, {LABEL} AS label, {IS_MARKED} AS marked FROM glosses")
 over("fronted", "glosses", ("gloss_id",), lambda: {"front": T.fronted(c("surface"), c("definition"))},
@@ -76,11 +74,7 @@ over("mask_word", "glosses", ("gloss_id",), lambda: {"asked": F.when(c("surface"
      rf"""SELECT gloss_id, CASE WHEN regexp_matches(surface, '^[\p{{L}}\p{{N}}_]+$') THEN array_to_string(list_transform(
         regexp_extract_all({PROSE_SQL}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: CASE WHEN w = surface THEN '{T.MASK}' ELSE w END), '')
         END AS asked FROM glosses""")
-over("mask_pieces", "glosses", ("gloss_id",), lambda: {"asked": T.masked_pieces(PROSE(), F.substring("surface", 1, 2))},
-     f"""SELECT gloss_id, replace(replace(replace({PROSE_SQL}, s, '{T.MASK}'), s[1], '{T.MASK}'),
-        CASE WHEN length(s) > 1 THEN s[2] ELSE s[1] END, '{T.MASK}') AS asked
-        FROM (SELECT *, left(surface, 2) AS s FROM glosses)""")
-over("mask_surface", "glosses", ("gloss_id",), lambda: {"asked": T.masked_pieces(PROSE(), c("surface"))},
+over("mask_pieces", "glosses", ("gloss_id",), lambda: {"asked": T.masked_pieces(PROSE(), c("surface"))},
      f"""SELECT gloss_id, list_reduce(list_concat([{PROSE_SQL}, surface], regexp_extract_all(surface, '(?s).')),
         lambda t, piece: replace(t, piece, '{T.MASK}')) AS asked FROM glosses""")
 over("md_anchor", "glosses", ("gloss_id",), lambda: {"anchor": T.slug(F.concat_ws(" — ", "surface", "definition"))},
@@ -101,9 +95,9 @@ over("mark", "glosses", ("gloss_id",),
          F.struct(F.lit(0).alias("s"), F.lit(2).alias("e")), F.struct(F.lit(2).alias("s"), F.lit(3).alias("e")), F.struct(F.lit(5).alias("s"), F.lit(8).alias("e"))))), 0)},
      """SELECT gloss_id, CASE WHEN len(examples) = 0 THEN NULL ELSE '⟨' || left(x, 3) || '⟩' || substr(x, 4, 2) || '⟨' || substr(x, 6, 3) || '⟩' || substr(x, 9) END AS shown
         FROM (SELECT gloss_id, examples, examples[1].sentence AS x FROM glosses)""")
-over("features", "deck", ("card_id",),
-     lambda: {"names": F.array_join(T.feature_names(F.concat(F.lit("Kind="), c("kind"), F.lit("|Due="), c("due"), F.lit("|Case="), c("card_type"))), ",")},
-     "SELECT card_id, 'Case,Due,Kind' AS names FROM deck")
+over("features", "glosses", ("gloss_id",),
+     lambda: {"names": F.array_join(T.feature_names(F.array_join(F.transform(F.array_distinct(F.split("surface", "")), lambda x: F.concat(x, F.lit("="), c("idx"))), "|")), ",")},
+     "SELECT gloss_id, array_to_string(list_sort(list_distinct(list_filter(string_split(surface, ''), lambda x: x <> ''))), ',') AS names FROM glosses")
 
 
 def is_number(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,9 +120,9 @@ def unmarker_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", "line_no", T.without_list_marker(c("line")).alias("plain"))
 
 
-QUERIES |= {"is_number": is_number, "respell": respell, "unmarker_lines": unmarker_lines}
+QUERIES |= {"is_number": is_number, "respell": respell, "unmarker": unmarker_lines}
 SQL |= {
-    "unmarker_lines": rf"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(l[i], '{T.LIST_MARKER}', '') AS plain
+    "unmarker": rf"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, regexp_replace(l[i], '{T.LIST_MARKER}', '') AS plain
         FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
     "is_number": rf"""SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[\s\p{{Z}}]+'),
         lambda w: regexp_matches(replace(w, ',', '.'), '{T.NUMBER}'))) AS BIGINT) AS n_numbers FROM documents""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -13,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoints of tables that are no longer referred to are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,10 +25,18 @@ def build_session(master: str = "local[*]", name: str = "lexiloom", **more: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a session without one (a test) gets a folder of its own."""
+    """Use the shared folder that the session's setting names.
+
+    A local session without one takes ``spark.local.dir``'s or the working machine's own folder, which all of its tasks
+    share; a cluster without one is refused, for a folder of one machine is none that all executors share.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexiloom-checkpoint-"))
+        if not shared:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            shared = f"{spark.conf.get('spark.local.dir', '/tmp')}/lexiloom-checkpoints"
+        spark.sparkContext.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

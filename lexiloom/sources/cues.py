@@ -65,13 +65,6 @@ def cues_of(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return clocks.join(texts, [key, "cue"])
 
 
-def offsets(cues: DataFrame, key: str = "file_id") -> DataFrame:
-    """Where each cue's text starts in the running text of its file, cues joined by a space: key, cue, starts_at."""
-    rows = cues.withColumn("room", (F.length("text") + 1).cast("long")).withColumn("block", F.floor(F.col("cue") / BLOCK))
-    rows = ordered_scan(rows, [key], "block", ["cue"], total={"upto": "room"})
-    return rows.select(key, "cue", (F.col("upto") - F.col("room")).alias("starts_at"))
-
-
 def punctuated(cues: DataFrame, key: str = "file_id") -> DataFrame:
     """Whether a file's cues are punctuated: at least a tenth of them end with a closing mark."""
     n, ends = F.count(F.lit(1)), F.count_if(F.rtrim("text").rlike(TERMINAL))
@@ -91,11 +84,13 @@ def greedy_breaks(cues: DataFrame, key: str = "file_id") -> DataFrame:
     A pause, or 40 words since the last break, breaks. Stretches between pauses are folded apart from each other, in one
     pass over sorted rows that holds a word count only.
     """
-    rows = cues.withColumn("block", F.floor(F.col("cue") / BLOCK)).withColumn("n_words", F.size(F.split(F.trim("text"), r"[\s\p{Z}]+")))
-    rows = ordered_scan(rows, [key], "block", ["cue"], lag={"before": "end"})
-    rows = rows.withColumn("paused", F.when(F.col("before").isNull(), 1).when(F.col("start") - F.col("before") >= PAUSE, 1).otherwise(0))
+    words = F.size(F.filter(F.split("text", r"[\s\p{Z}]+"), lambda w: w != ""))
+    rows = cues.withColumn("block", F.floor(F.col("cue") / BLOCK)).withColumn("n_words", words)
+    rows = ordered_scan(rows, [key], "block", ["cue"], lag={"before": "end", "before_cue": "cue"})
+    first = F.col("before_cue").isNull()
+    rows = rows.withColumns({"first": first, "paused": F.when(first | (F.col("start") - F.col("before") >= PAUSE), 1).otherwise(0)})
     rows = ordered_scan(rows, [key], "block", ["cue"], total={"stretch": "paused"})
-    sorted_rows = rows.select(key, "stretch", "cue", "n_words", F.col("before").isNull().alias("first")).repartition(key, "stretch").sortWithinPartitions(key, "stretch", "cue")
+    sorted_rows = rows.select(key, "stretch", "cue", "n_words", "first").repartition(key, "stretch").sortWithinPartitions(key, "stretch", "cue")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
@@ -117,6 +112,45 @@ def greedy_breaks(cues: DataFrame, key: str = "file_id") -> DataFrame:
     return sorted_rows.mapInArrow(fold, f"{key} bigint, cue bigint, joined string")
 
 
+def placed(cues: DataFrame, key: str = "file_id") -> DataFrame:
+    """Cues in the running text of their file: key, cue, joint (what stands before the cue's text), text, starts_at.
+
+    Punctuated files are joined by spaces; in others a pause or a long run of words is a blank line (``greedy_breaks``).
+    starts_at is where a cue's text starts in the text of all joints and texts, in characters.
+    """
+    flags = punctuated(cues, key).select(key, "punctuated")
+    told = cut(cues.join(flags, key))
+    plain = told.where("punctuated").withColumn("block", F.floor(F.col("cue") / BLOCK))
+    plain = ordered_scan(plain, [key], "block", ["cue"], lag={"before_cue": "cue"})
+    plain = plain.select(key, "cue", F.when(F.col("before_cue").isNull(), "start").otherwise("space").alias("joined"))
+    joined = plain.unionByName(greedy_breaks(told.where("not punctuated"), key))
+    joint = F.when(F.col("joined") == "start", "").when(F.col("joined") == "space", " ").otherwise("\n\n")
+    rows = told.select(key, "cue", "text").join(joined.select(key, "cue", joint.alias("joint")), [key, "cue"])
+    rows = cut(rows.withColumn("room", (F.length("joint") + F.length("text")).cast("long")).withColumn("block", F.floor(F.col("cue") / BLOCK)))
+    rows = ordered_scan(rows, [key], "block", ["cue"], total={"upto": "room"})
+    return rows.select(key, "cue", "joint", "text", (F.col("upto") - F.length("text")).alias("starts_at"))
+
+
+def offsets(cues: DataFrame, key: str = "file_id") -> DataFrame:
+    """Where each cue's text starts in the running text of its file: key, cue, starts_at."""
+    return placed(cues, key).select(key, "cue", "starts_at")
+
+
+def folded(cues: DataFrame, key: str = "file_id") -> DataFrame:
+    """The running text of each file in stretches of up to ``BLOCK`` cues, which follow each other without more between
+    them: key, block, text. A file of any length is never one row."""
+    rows = placed(cues, key).withColumn("block", F.floor(F.col("cue") / BLOCK))
+    ordered = F.array_sort(F.collect_list(F.struct("cue", F.concat("joint", "text").alias("piece"))))
+    return rows.groupBy(key, "block").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))
+
+
+def lines_of(files: DataFrame, key: str = "file_id", text: str = "text") -> DataFrame:
+    """Whole cue files as lines: key, line_no, line; all line ends count, and a last one opens no line."""
+    split = F.split(F.regexp_replace(text, "\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", "\n"), "\n")
+    lines = F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+    return files.where(F.col(text).isNotNull()).select(key, F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
 def as_lines(cues: DataFrame, files: DataFrame) -> DataFrame:
     """Stored cues as the lines of cue files: file_id, line_no, line."""
     once = cues.where("start_s is not null and end_s is not null and text is not null").dropDuplicates(["file_id", "cue_ord"])
@@ -129,5 +163,8 @@ def as_lines(cues: DataFrame, files: DataFrame) -> DataFrame:
 
     timing = F.concat(stamp("start_s"), F.lit(" --> "), stamp("end_s"))
     parts = F.concat(F.array(F.col("cue_ord").cast("string"), timing), F.split("text", "\n"), F.array(F.lit("")))
-    rows = once.join(dots, "file_id").select("file_id", "cue_ord", F.posexplode(parts).alias("at", "line"))
-    return rows.select("file_id", ((F.col("cue_ord").cast("long") - 1) * 64 + F.col("at")).alias("line_no"), "line")
+    rows = once.join(dots, "file_id").select("file_id", F.col("cue_ord").cast("long").alias("cue_ord"), parts.alias("parts"))
+    rows = rows.withColumns({"n": F.size("parts").cast("long"), "block": F.floor(F.col("cue_ord") / BLOCK)})
+    rows = ordered_scan(rows, ["file_id"], "block", ["cue_ord"], total={"upto": "n"})
+    rows = rows.select("file_id", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("parts").alias("at", "line"))
+    return rows.select("file_id", (F.col("before") + F.col("at")).alias("line_no"), "line")

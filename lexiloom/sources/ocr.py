@@ -27,6 +27,12 @@ def joined(lines: Column) -> Column:
     return F.aggregate(kept, F.lit(""), add)
 
 
+def blocks(pages: DataFrame) -> DataFrame:
+    """The lines of all blocks of pages (page_id, json): page_id, block, line_no, line."""
+    each = pages.select("page_id", F.posexplode(F.from_json("json", SCHEMA)["blocks"]).alias("block", "b"))
+    return each.select("page_id", "block", F.posexplode("b.lines").alias("line_no", "line"))
+
+
 def speech(pages: DataFrame) -> DataFrame:
     """What blocks of pages (page_id, json) say: page_id, block, text. Blocks without a letter are left out."""
     blocks = pages.select("page_id", F.posexplode(F.from_json("json", SCHEMA)["blocks"]).alias("block", "b"))
