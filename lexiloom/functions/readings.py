@@ -67,10 +67,10 @@ def read_as(asked: DataFrame, blocks: DataFrame) -> DataFrame:
 def as_used(lines: Column, headword: Column) -> Column:
     """A list of a character's readings cut to the line with the romanization that a headword names; else the whole list."""
     said = F.btrim(F.regexp_extract(headword, r"\(([^()]*)\)", 1), F.lit(" -‐‑"))
-    one = F.concat(F.lit(r"([^\s、,()]+\s*\(\s*\Q"), said, F.lit(r"\E\s*(?:,[^()]*)?\))"))
+    one = F.concat(F.lit(r"[^\s、,()]+\s*\(\s*\Q"), said, F.lit(r"\E\s*(?:,[^()]*)?\)"))
     label = lambda x: F.when(F.instr(x, ":") > 0, F.concat(F.trim(F.substring_index(x, ":", 1)), F.lit(": "))).otherwise(F.lit(""))
     rest = lambda x: F.when(F.instr(x, ":") > 0, F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise(x)
-    hits = F.filter(F.transform(lines, lambda x: F.struct(label(x).alias("l"), F.regexp_extract(rest(x), one, 1).alias("r"))), lambda h: h["r"] != "")
+    hits = F.filter(F.transform(lines, lambda x: F.struct(label(x).alias("l"), F.coalesce(F.regexp_substr(rest(x), one), F.lit("")).alias("r"))), lambda h: h["r"] != "")
     first = F.get(hits, F.lit(0))
     return F.when((F.size(lines) > 1) & (said != "") & (F.size(hits) > 0), F.array(F.concat(first["l"], first["r"]))).otherwise(lines)
 

@@ -10,6 +10,8 @@ from lexiloom.session import cut
 
 #: Written parts of a growing table are written as one when there are so many.
 PARTS = 12
+#: Levels of a graph that are followed in one go, between two writes.
+STEPS = 4
 
 
 def edges_of(glosses: DataFrame) -> DataFrame:
@@ -88,12 +90,17 @@ def heights_and_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     front = cut(nodes.select("source_ord", "idx").distinct().select("source_ord", "idx", both).withColumn("level", F.lit(0)))
     parts, level = [front], 0
     while True:
-        level += 1
-        moved = front.select("source_ord", "up", F.col("idx").alias("at")).join(step, ["source_ord", "up", "at"])
-        front = cut(moved.select("source_ord", F.col("to").alias("idx"), "up").distinct().withColumn("level", F.lit(level)))
+        steps = []
+        for _ in range(STEPS):
+            level += 1
+            moved = front.select("source_ord", "up", F.col("idx").alias("at")).join(step, ["source_ord", "up", "at"])
+            front = moved.select("source_ord", F.col("to").alias("idx"), "up").distinct().withColumn("level", F.lit(level))
+            steps.append(front)
+        reached = cut(together(steps))
+        parts.append(reached)
+        front = reached.where(F.col("level") == level)
         if front.isEmpty():
             break
-        parts.append(front)
         if len(parts) > PARTS:
             parts = [cut(together(parts).groupBy("source_ord", "idx", "up").agg(F.max("level").alias("level")))]
     best = lambda up: F.max(F.when(F.col("up") == up, F.col("level"))).alias("height" if up else "depth")

@@ -54,12 +54,11 @@ def keys(cards: DataFrame, edges: DataFrame, seed: int, window: float) -> DataFr
     key = F.when(raised <= ceiling, raised).when(floor < ceiling, ceiling - F.col("again") * (ceiling - floor)).otherwise(after)
     for depth in range(1, deepest + 1):
         moved = level.select("source_ord", F.col("idx").alias("from"), "key").join(back, ["source_ord", "from"])
-        sent.append(cut(moved.groupBy("source_ord", F.col("to").alias("idx")).agg(F.max("key").alias("floor"))))
-        if len(sent) > PARTS:
-            sent = [cut(together(sent).groupBy("source_ord", "idx").agg(F.max("floor").alias("floor")))]
+        sent.append(moved.groupBy("source_ord", F.col("to").alias("idx")).agg(F.max("key").alias("floor")))
         reached = together(sent).groupBy("source_ord", "idx").agg(F.max("floor").alias("floor"))
         level = cut(drawn.where(F.col("depth") == depth).join(reached, ["source_ord", "idx"]).select("source_ord", "idx", key.alias("key")))
         parts.append(level)
-        if len(parts) > PARTS:
+        if len(sent) >= PARTS:
+            sent = [cut(reached)]
             parts = [cut(together(parts))]
     return together(parts)

@@ -9,6 +9,8 @@ SENTENCE_END = r"([.!?。！？…]+)[\s\p{Z}]+|\n[ \t]*\n"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 CUT = "\x01"
 LONGEST_RUN = 8
+#: Titles of up to so many bytes, with so many for each row besides its texts, are broadcast; the size is summed up before.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 64
 
 
 def sentences(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,7 +87,10 @@ def matches(parts: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFra
     made where sentences are scanned, without a shuffle. Nothing matches a title without a word.
     """
     listed = title_tokens(titles).where("n > 0").select("title", "n", F.array_join("words", " ").alias("gram"))
-    sizes = sorted(r.n for r in listed.select("n").distinct().collect())
+    told = listed.groupBy("n").agg(F.sum(F.octet_length("title") + F.octet_length("gram") + ROW_BYTES).alias("bytes")).collect()
+    sizes = sorted(r.n for r in told)
+    # A title list whose size was found to be small goes to the sentences, so that no stretch is shuffled.
+    small = sum(r.bytes for r in told) <= BROADCAST_BYTES
     words = F.filter(F.split(F.lower(F.col("sentence")), NON_WORD), lambda w: w != "")
     rows = parts.select(key, "sent", words.alias("words"))
     at = lambda n: F.transform(
@@ -93,7 +98,7 @@ def matches(parts: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFra
         lambda i: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice("words", i + 1, F.lit(n)), " ").alias("gram")),
     )
     stretches = F.explode(F.flatten(F.array(*[at(n) for n in sizes or [1]]))).alias("x")
-    return rows.select(key, "sent", stretches).select(key, "sent", "x.*").join(listed.drop("n"), "gram").select(key, "sent", "first", "last", "title")
+    return rows.select(key, "sent", stretches).select(key, "sent", "x.*").join(F.broadcast(listed.drop("n")) if small else listed.drop("n"), "gram").select(key, "sent", "first", "last", "title")
 
 
 def maximal(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -22,7 +22,7 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def parsed(s: SparkSession, d: str) -> DataFrame:
-    return U.cues_of(lines(s, d))
+    return U.cues_of(U.as_ordered_lines(read(s, d, "cues"), read(s, d, "cue_files")), block=512 * U.CUE_STEP)
 
 
 def clocked(s: SparkSession, d: str, cues: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,8 @@ TERMINAL = r"[.!?。！？…]$"
 PUNCTUATED, PAUSE, MAX_WORDS = 0.1, 0.8, 40
 #: Lines, or cues, of a bucket.
 BLOCK = 2048
+#: What lies between the numbers of two cues' lines where these have gaps.
+CUE_STEP = 1 << 31
 
 
 def cleaned(line: Column) -> Column:
@@ -47,7 +49,7 @@ def looks_like_cues(lines: DataFrame, key: str = "file_id") -> DataFrame:
     return head.groupBy(key).agg(F.max(hit).alias("is_cues"))
 
 
-def cues_of(lines: DataFrame, key: str = "file_id") -> DataFrame:
+def cues_of(lines: DataFrame, key: str = "file_id", block: int = BLOCK) -> DataFrame:
     """Cues of files given as lines (key, line_no, line): key, cue (1-based place of the timing line), start, end, text.
 
     A line equal to the one kept before it, in this cue or the one before, is dropped, which unrolls scrolling captions.
@@ -153,6 +155,21 @@ def lines_of(files: DataFrame, key: str = "file_id", text: str = "text") -> Data
 
 def as_lines(cues: DataFrame, files: DataFrame) -> DataFrame:
     """Stored cues as the lines of cue files: file_id, line_no, line."""
+    rows = cue_parts(cues, files).withColumns({"n": F.size("parts").cast("long"), "block": F.floor(F.col("cue_ord") / BLOCK)})
+    rows = ordered_scan(rows, ["file_id"], "block", ["cue_ord"], total={"upto": "n"})
+    rows = rows.select("file_id", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("parts").alias("at", "line"))
+    return rows.select("file_id", (F.col("before") + F.col("at")).alias("line_no"), "line")
+
+
+def as_ordered_lines(cues: DataFrame, files: DataFrame) -> DataFrame:
+    """``as_lines`` where only the order counts: line_no grows along a file, with gaps, and needs no scan. The place of a
+    line in its cue has 31 bits, as many as any array has places."""
+    rows = cue_parts(cues, files).select("file_id", "cue_ord", F.posexplode("parts").alias("at", "line"))
+    return rows.select("file_id", (F.col("cue_ord") * CUE_STEP + F.col("at")).alias("line_no"), "line")
+
+
+def cue_parts(cues: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored cues (file_id, cue_ord) with the lines a cue file has for them."""
     once = cues.where("start_s is not null and end_s is not null and text is not null").dropDuplicates(["file_id", "cue_ord"])
     dots = files.select("file_id", F.when(F.col("dialect") == "vtt", ".").otherwise(",").alias("mark")).dropDuplicates(["file_id"])
 
@@ -163,8 +180,4 @@ def as_lines(cues: DataFrame, files: DataFrame) -> DataFrame:
 
     timing = F.concat(stamp("start_s"), F.lit(" --> "), stamp("end_s"))
     parts = F.concat(F.array(F.col("cue_ord").cast("string"), timing), F.split("text", "\n"), F.array(F.lit("")))
-    rows = once.join(dots, "file_id").select("file_id", F.col("cue_ord").cast("long").alias("cue_ord"), parts.alias("parts"))
-    rows = rows.withColumns({"n": F.size("parts").cast("long"), "block": F.floor(F.col("cue_ord") / BLOCK)})
-    rows = ordered_scan(rows, ["file_id"], "block", ["cue_ord"], total={"upto": "n"})
-    rows = rows.select("file_id", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("parts").alias("at", "line"))
-    return rows.select("file_id", (F.col("before") + F.col("at")).alias("line_no"), "line")
+    return once.join(dots, "file_id").select("file_id", F.col("cue_ord").cast("long").alias("cue_ord"), parts.alias("parts"))

@@ -370,13 +370,13 @@ class Section:
         box = next((i for i in p.within(self.span, "table") if any(SEE_CLASS.match(c) for c in p.elements[i].classes)), None)
         if box is None:
             return []
-        after_see, between = [], []
+        after_see, between, end = [], [], p.elements[box].begin
         for i in p.within(p.inner(box), "a"):
+            lead, end = p.text[end : p.elements[i].begin].rstrip(), p.stop[i]
             path = p.elements[i].attrs.get("href", "").split("#", 1)[0]
             title = unquote(path.removeprefix("/wiki/")).replace("_", " ")
             if not path.startswith("/wiki/") or not title or title == self.title:
                 continue
-            lead = p.text[p.elements[box].begin : p.elements[i].begin].rstrip()
             if re.search(r"\bsee$", lead) and not NAMESPACED.match(title):
                 after_see.append(title)
             elif lead.endswith("【"):

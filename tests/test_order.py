@@ -1,6 +1,6 @@
 import random
 
-from lexiloom.operators.graph import closure, levels
+from lexiloom.operators.graph import closure, cycle_edges, dependency_order, levels
 from lexiloom.operators.order import shuffled
 from lexiloom.operators.timeline import as_of, coverage_rows
 from lexiloom.streaming.coverage import culled, kept, windowed_counts
@@ -15,12 +15,29 @@ def graph(spark, n=160, seed=3):
 
 def test_shuffle_keeps_dependencies_and_places(spark):
     cards, edges, plain = graph(spark)
-    by_list = {r.idx: r.place for r in shuffled(cards, edges, 5, window=30).collect()}
-    by_level = {r.idx: r.place for r in shuffled(cards, edges, 5, window=30, most=0).collect()}
-    assert by_list == by_level and sorted(by_list.values()) == list(range(1, 161))
-    assert all(by_list[d] < by_list[i] for _, i, d in plain)
-    assert max(abs(p - 1 - i) for i, p in by_list.items()) <= 30
-    assert by_list != {r.idx: r.place for r in shuffled(cards, edges, 6, window=30).collect()}
+    places = {r.idx: r.place for r in shuffled(cards, edges, 5, window=30).collect()}
+    assert sorted(places.values()) == list(range(1, 161))
+    assert all(places[d] < places[i] for _, i, d in plain)
+    assert max(abs(p - 1 - i) for i, p in places.items()) <= 30
+    assert places != {r.idx: r.place for r in shuffled(cards, edges, 6, window=30).collect()}
+
+
+def test_edges_to_later_cards_and_cycles(spark):
+    cards = spark.createDataFrame([(1, i) for i in range(60)], "source_ord long, idx int")
+    edges = spark.createDataFrame([(1, 2, 50), (1, 7, 3), (1, 3, 7), (1, 9, 12), (1, 12, 20), (1, 5, 2), (1, 8, 99), (1, 4, 4)], "source_ord long, idx int, dep int").where("idx <> dep")
+    assert {(r.idx, r.dep) for r in cycle_edges(edges).collect()} == {(3, 7)}
+    places = {r.idx: r.place for r in shuffled(cards, edges, 5, window=10).collect()}
+    assert sorted(places.values()) == list(range(1, 61))
+    for i, d in ((2, 50), (7, 3), (9, 12), (12, 20), (5, 2)):
+        assert places[d] < places[i]
+    order = {r.idx: r.place for r in dependency_order(cards, edges.where("dep < 60")).collect()}
+    assert all(order[d] < order[i] for i, d in ((2, 50), (7, 3), (9, 12), (12, 20)))
+
+
+def test_chains_beyond_a_thousand(spark):
+    chain = spark.range(1, 1201).selectExpr("1L as source_ord", "cast(id as int) as idx", "cast(id - 1 as int) as dep")
+    found = closure(chain)
+    assert found.count() == 1200 * 1201 // 2 and found.where("idx = 1200 and dep = 0").count() == 1
 
 
 def test_closure_and_levels(spark):
