@@ -120,7 +120,9 @@ def limits_of(rows: DataFrame) -> DataFrame:
         F.sum("n").over(ordered.rangeBetween(Window.unboundedPreceding, 0)).alias("n_upto"),
         F.sum("n").over(Window.partitionBy("source", "at")).alias("n_documents"),
     ).withColumn("n_above", F.col("n_documents") - F.col("n_upto"))
-    heaps = near.where(is_heap(F.col("n_at"), F.col("n_beside")) & (F.col("n_above") <= 2 * F.col("n_at")))
+    # The limit is the last dense length: one beyond it has as dense a stretch before it, but few texts itself.
+    dense = F.col("n") * (2 * EDGE) >= F.col("n_at")
+    heaps = near.where(dense & is_heap(F.col("n_at"), F.col("n_beside")) & (F.col("n_above") <= 2 * F.col("n_at")))
     # A text counts for the first of the heaps it stands on, from the densest down.
     width = F.when(F.col("n") >= SHARP * F.col("n_at"), 0).when(F.col("n_near") >= SHARP * F.col("n_at"), NARROW - 1).otherwise(WIDE)
     place = F.struct((-F.col("n_at")).alias("a"), (-F.col("n")).alias("b"), F.col("at").alias("e"), (-F.col("length")).alias("c"))

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 
 from lexiloom.llm import lookalike as L
+from lexiloom.llm.clocks import isotonic
 from lexiloom.llm.runs import runs
 from lexiloom.llm.sentences import sentence_ends
-from lexiloom.llm.turns import cast_of, isotonic, pieces, repaired, turns
+from lexiloom.llm.turns import cast_of, pieces, turns
 
 CUES = "cue_id long, file_id long, series string, cue_ord int, start_s double, end_s double, text string, loaded_at timestamp, span long, words string"
 FILES = "file_id long, series string, title string, lang string, track string, dialect string, cue_id long, span int"
@@ -99,8 +100,6 @@ def test_labels_and_times():
     assert list(pieces("the clock says 10:30, so Selel: x", cast, "en")) == [(None, "the clock says 10:30, so Selel: x")]
     assert list(pieces("Selel (off screen): at 6 p.m.", cast, "en")) == [(1, "at 6 p.m.")]
     assert list(isotonic(np.array([1.0, 3.0, 2.0, 4.0]))) == [1.0, 2.5, 2.5, 4.0]
-    a, b = repaired(np.array([0.0, 1000.0, 2000.0]), np.array([np.nan, 90_000.0, 2500.0]))
-    assert list(a) == [0, 1000, 2000] and list(b) == [1000, 2000, 2500]
 
 
 def ends(spark, lang, *texts):
