@@ -18,20 +18,23 @@ def line(rng):
 
 
 def test_limits_decide_where_no_stops_are_written(spark):
+    # Lines of two or three words, of which each may end one: only the limit tells that a line of one word was cut.
     rng, rows, cut = random.Random(3), [], set()
-    for i in range(500):
-        text = "\n".join(line(rng) for _ in range(rng.randint(2, 12)))
-        if i % 2 and len(text) > 220:
-            text = text[:220]
-            text, _ = text[: text.rfind(" ")], cut.add(i)
+    for i in range(600):
+        lines = [" ".join(rng.choices(WORDS, k=rng.randint(2, 3))) for _ in range(rng.randint(4, 24))]
+        text = "\n".join(lines)
+        if i % 2 and len(text) > 150:
+            text = text[:150]
+            text = text[: max(text.rfind(" "), text.rfind("\n"))]
+            if " " not in text.split("\n")[-1]:
+                cut.add(i)
         rows.append((i, text, "en", ("whole", "short")[i % 2], None))
-    documents = spark.createDataFrame(rows, DOCUMENTS)
-    features = truncation.features(documents).cache()
+    features = truncation.features(spark.createDataFrame(rows, DOCUMENTS)).cache()
     limits = truncation.limits_of(features.where("kind = 'text'"))
     assert {r.source for r in limits.collect()} == {"short"}
     found = lambda lim: {r.doc_id for r in truncation.judged(features, lim).where("cut").collect()}
     with_limits, without = found(limits) & cut, found(limits.where("false")) & cut
-    assert len(with_limits) >= 0.95 * len(cut) and len(without) < 0.8 * len(cut)
+    assert len(with_limits) >= 0.9 * len(cut) and len(without) < 0.5 * len(cut), (len(cut), len(with_limits), len(without))
 
 
 def test_every_planted_limit_is_found(spark):
@@ -73,7 +76,7 @@ def test_raking_meets_three_marginals_that_scaling_misses(spark):
     documents, weights = mixed(spark)
     raked = {(r.axis, r.category): (r.target, r.actual) for r in mixing.marginals(documents, weights).collect()}
     scaled = {(r.axis, r.category): r.actual for r in mixing.marginals(documents, weights, scaling_only=True).collect()}
-    for axis, near in (("source", 0.005), ("lang", 0.01), ("topic", 0.03)):
+    for axis, near in (("source", 0.005), ("lang", 0.015), ("topic", 0.03)):
         off = max(abs(t - a) for (x, _), (t, a) in raked.items() if x == axis)
         assert off < near, (axis, off)
     assert max(abs(raked[k][0] - scaled[k]) for k in raked if k[0] == "lang") > 0.05
