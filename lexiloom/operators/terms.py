@@ -78,6 +78,17 @@ def token_runs(words: DataFrame, key: str = "doc_id", longest: int = LONGEST_RUN
     )
 
 
+def spelled_titles(titles: DataFrame, runs: DataFrame) -> DataFrame:
+    """Distinct titles that are spelled as a run of tokens (see ``token_runs``): title.
+
+    Both sides are shuffled by their spelling. The planner takes the runs, of which every token has several, for smaller
+    than the texts' files and would send all of them to the driver. A semi join would be moved below the titles' union and
+    the runs made twice; both sides are distinct, so that an inner join has the same rows.
+    """
+    listed, spellings = titles.select("title").distinct(), runs.select(F.col("run").alias("title")).distinct()
+    return listed.join(spellings.hint("merge"), "title")
+
+
 def matches(parts: DataFrame, titles: DataFrame, key: str = "doc_id") -> DataFrame:
     """Titles of any number of words found as adjacent tokens of sentences (key, sent, sentence): key, sent, first, last,
     title.

@@ -50,9 +50,7 @@ QUERIES = {
     "title_scan": lambda s, d: titles_of(s, d).select(F.translate(F.trim("title"), "_", " ").alias("title")).where("title <> ''").distinct(),
     "title_words": lambda s, d: M.title_words(titles_of(s, d), M.vocabulary(words_of(s, d))),
     "title_reachable": lambda s, d: M.reachable_titles(titles_of(s, d), M.vocabulary(words_of(s, d))),
-    "title_runs": lambda s, d: titles_of(s, d).join(
-        M.token_runs(M.tokens(M.sentences(read(s, d, "documents").where("lang in ('ja', 'zh')")))).select(F.col("run").alias("title")).distinct(), "title", "left_semi"
-    ),
+    "title_runs": lambda s, d: M.spelled_titles(titles_of(s, d), M.token_runs(M.tokens(M.sentences(read(s, d, "documents").where("lang in ('ja', 'zh')"))))),
     "runs": lambda s, d: M.token_runs(M.tokens(M.sentences(read(s, d, "documents").where("lang in ('ja', 'zh')")))).groupBy("doc_id").agg(
         F.count_distinct("run").alias("n_runs")
     ),
